@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from keystrand.llm import mixing, quality, sharding, urls
+from keystrand.llm import decontaminate, language, mixing, near_dup, quality, sharding, urls
 
 
 def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_benchmark_leaks(spark, sf_dir):
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_url_filter(spark, sf_dir):
     return urls.filter_urls(_table(spark, sf_dir, "pages"))
 
@@ -18,6 +22,14 @@ def op5_quality_rules(spark, sf_dir):
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_near_duplicates(spark, sf_dir):
+    return near_dup.classes(_table(spark, sf_dir, "documents"))
+
+
+def op7_language(spark, sf_dir):
+    return language.identify(_table(spark, sf_dir, "documents"))
+
+
 def op8_hash_tree_shards(spark, sf_dir):
     return sharding.assign_shards(_table(spark, sf_dir, "documents"))
 
@@ -80,5 +92,5 @@ select doc_id, size, source_size, target,
 from sums
 """
 
-QUERIES = {f.__name__: f for f in (op4_url_filter, op5_quality_rules, op8_hash_tree_shards, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op3_benchmark_leaks, op4_url_filter, op5_quality_rules, op6_near_duplicates, op7_language, op8_hash_tree_shards, op10_source_mix)}
 ORACLE = {"op5_quality_rules": _QUALITY_SQL, "op10_source_mix": _MIX_SQL}
