@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystrand.llm.store import saved
-from keystrand.llm.words import SHINGLE, Words, chunks, mix64, shingle_sets, text_buffers, words_of
+from keystrand.llm.store import free, saved
+from keystrand.llm.words import PLACES, SHINGLE, Words, chunks, mix64, shingle_sets, text_buffers, words_of
 
 THRESHOLD = 0.75
 RADIUS = 23
@@ -147,7 +147,7 @@ class Index:
         for n, rows in self.short.items():
             total = np.zeros(max(0, high - low - n + 1), dtype=np.uint64)
             for k in range(n):
-                total += words.hashes[low + k : low + k + len(total)] * _place(k)
+                total += words.hashes[low + k : low + k + len(total)] * PLACES[k]
             total = mix64(total + np.uint64(n))
             for item, h in rows:
                 at = np.flatnonzero(total == np.uint64(h))
@@ -155,12 +155,6 @@ class Index:
                     found[item] = (1.0, int(at[0]))
 
 
-def _place(k: int) -> np.uint64:
-    from keystrand.llm.words import PLACES
-
-    return PLACES[k]
-
-
 def _search(docs: DataFrame, index: Index) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
@@ -212,5 +206,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without contaminated documents; columns as they came. Rows without doc_id stay."""
-    gone = saved(contaminated(docs, benchmark).select(F.col("doc_id").alias("_gone")).distinct(), "leaks")
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*docs.columns)
+    name = free(docs, "gone")
+    gone = saved(contaminated(docs, benchmark).select(F.col("doc_id").alias(name)).distinct(), "leaks")
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti").select(*docs.columns)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from keystrand.llm.store import saved
+from keystrand.llm.store import free, saved
 
 BITS = 12
 LEVELS = 3
@@ -77,10 +77,6 @@ def _sized(docs: DataFrame) -> DataFrame:
     return saved(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), draw(F.col("doc_id")).alias("draw")), "mix-sized")
 
 
-def _repeats(draw_column: Column, cap: float) -> Column:
-    return F.least(F.col("times") + (draw_column < F.col("threshold")).cast("long"), F.lit(int(cap)).cast("long"))
-
-
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
     """(doc_id, size, source_size, target, taken, repeats) for every row of ``docs``.
 
@@ -93,15 +89,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.
     sized = _sized(docs)
     found = mix_plan(sized, weights, cap)
     joined = sized.join(found, F.col("source").eqNullSafe(F.col("s")))
-    repeats = _repeats(F.col("draw"), cap)
+    repeats = F.least(F.col("times") + (F.col("draw") < F.col("threshold")).cast("long"), F.lit(int(cap)).cast("long"))
     return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * repeats).alias("taken"), repeats.alias("repeats"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
     """``docs`` with each row as often as :func:`mix` takes it; columns as they came. Texts aren't shuffled: a row
     needs only the plan of its source."""
-    found = mix_plan(_sized(docs), weights, cap).select(F.struct("times", "threshold").alias("_mix"), F.col("s").alias("_mix_source"))
-    joined = docs.join(found, F.col("source").eqNullSafe(F.col("_mix_source")))
-    repeats = F.least(F.col("_mix.times") + (draw(F.col("doc_id")) < F.col("_mix.threshold")).cast("long"), F.lit(int(cap)).cast("long"))
-    taken = joined.withColumn("_mix_copies", F.when(repeats > 0, F.sequence(F.lit(1).cast("long"), repeats)))
-    return taken.withColumn("_mix_copy", F.explode("_mix_copies")).select(*docs.columns)
+    at, of, copies = free(docs, "mix"), free(docs, "mix_source"), free(docs, "mix_copies")
+    found = mix_plan(_sized(docs), weights, cap).select(F.struct("times", "threshold").alias(at), F.col("s").alias(of))
+    joined = docs.join(found, F.col("source").eqNullSafe(F.col(of)))
+    once_more = (draw(F.col("doc_id")) < F.col(at)["threshold"]).cast("long")
+    repeats = F.least(F.col(at)["times"] + once_more, F.lit(int(cap)).cast("long"))
+    taken = joined.withColumn(copies, F.when(repeats > 0, F.sequence(F.lit(1).cast("long"), repeats)))
+    return taken.withColumn(copies, F.explode(copies)).select(*docs.columns)

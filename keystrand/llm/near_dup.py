@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keystrand.llm.graph import components
-from keystrand.llm.store import dropped, saved
+from keystrand.llm.store import dropped, free, saved
 from keystrand.llm.words import chunks, mix64, shingle_sets, text_buffers, words_of
 
 BANDS = 40
@@ -158,5 +158,6 @@ def classes(docs: DataFrame) -> DataFrame:
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
     """``docs`` without the documents that :func:`classes` doesn't keep; columns as they came."""
-    gone = saved(classes(docs).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "near-gone")
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*docs.columns)
+    name = free(docs, "gone")
+    gone = saved(classes(docs).filter("not kept").select(F.col("doc_id").alias(name)).distinct(), "near-gone")
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti").select(*docs.columns)

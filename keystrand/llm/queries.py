@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
-from keystrand.llm import decontaminate, language, mixing, near_dup, quality, sharding, urls
+from pyspark.sql import functions as F
+
+from keystrand.llm import decontaminate, language, lines, mixing, near_dup, pii, quality, sharding, tokens, urls
 
 
 def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_personal_data(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.fitted(docs))
+
+
+def op2_token_counts(spark, sf_dir, ranks="byte_bpe_50k.tiktoken", separator=50256):
+    import public_tokenizers
+
+    encoder = tokens.bpe_encoder(spark, public_tokenizers.path(ranks), public_tokenizers.PATTERN)
+    return tokens.count_tokens(_table(spark, sf_dir, "documents"), encoder, separator)
+
+
 def op3_benchmark_leaks(spark, sf_dir):
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -34,6 +48,11 @@ def op8_hash_tree_shards(spark, sf_dir):
     return sharding.assign_shards(_table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark, sf_dir):
+    rows = lines.dedup_lines(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", "n_removed", F.crc32("text").alias("text_crc32"))
+
+
 def op10_source_mix(spark, sf_dir):
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -92,5 +111,5 @@ select doc_id, size, source_size, target,
 from sums
 """
 
-QUERIES = {f.__name__: f for f in (op3_benchmark_leaks, op4_url_filter, op5_quality_rules, op6_near_duplicates, op7_language, op8_hash_tree_shards, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_personal_data, op2_token_counts, op3_benchmark_leaks, op4_url_filter, op5_quality_rules, op6_near_duplicates, op7_language, op8_hash_tree_shards, op9_line_dedup, op10_source_mix)}
 ORACLE = {"op5_quality_rules": _QUALITY_SQL, "op10_source_mix": _MIX_SQL}

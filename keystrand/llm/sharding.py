@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from keystrand.llm.store import free
+
 REGION = 10
 RACK = 5
 SLOT_BUCKETS = 256
@@ -68,3 +70,8 @@ def assign_shards(docs: DataFrame, shards: int = 40) -> DataFrame:
     place = F.row_number().over(W.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")) - 1
     numbered = rows.withColumn("place", place).join(starts, (F.col("shard") == F.col("_shard")) & (F.col("bucket") == F.col("_bucket")))
     return numbered.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_start") + F.col("place")).cast("long").alias("slot"), "grown_shard")
+
+
+def sharded(docs: DataFrame, shards: int = 40) -> DataFrame:
+    """``docs`` with the column shard (renamed with underscores before it if ``docs`` has one). Texts aren't shuffled."""
+    return docs.withColumn(free(docs, "shard"), tree_shard(F.col("doc_id"), shards))
