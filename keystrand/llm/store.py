@@ -1,45 +1,5 @@
-"""Intermediate tables in the folder that all executors share (``spark.checkpoint.dir``)."""
+"""Intermediate tables in the shared folder, as the library makes them."""
 
-from __future__ import annotations
+from keystrand.plans.tables import dropped, free, saved, shared_dir
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_LOCAL: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where it is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base
-    if not _LOCAL:
-        _LOCAL.append("file://" + tempfile.mkdtemp(prefix="keystrand-"))
-    return _LOCAL[0]
-
-
-def saved(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`saved` once nothing reads it any more."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
-
-
-def free(df: DataFrame, name: str) -> str:
-    """``name``, with underscores before it until no column of ``df`` has it."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = "_" + name
-    return name
+__all__ = ["dropped", "free", "saved", "shared_dir"]
