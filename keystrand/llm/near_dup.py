@@ -18,6 +18,8 @@ BANDS = 40
 ROWS = 5
 BINS = BANDS * ROWS
 THRESHOLD = 75
+#: Two of four bands shared by two documents are at most this far apart on the circle of bands, so finer buckets join them.
+APART = 13
 
 
 @lru_cache(maxsize=1)
@@ -92,11 +94,24 @@ def _ordered(a: str, b: str, na: str, nb: str, rows: DataFrame) -> DataFrame:
 def _across(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members (key, id, n, component) of buckets whose members are in two components or more."""
     known = labels.select(F.col("id").alias("_id"), F.col("component"))
-    placed = members.join(known, F.col("id") == F.col("_id"), "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
+    placed = members.join(known, F.col("id") == F.col("_id"), "left").select("band", "key", "id", "n", F.coalesce("component", "id").alias("component"))
     split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select(F.col("key").alias("_key"))
     return placed.join(split, F.col("key") == F.col("_key"), "left_semi")
 
 
+def _finer_stars(apart: DataFrame, turn: int) -> DataFrame:
+    """Stars in finer buckets: those who share two bands. The centre is the member that comes first in an order of ids
+    that changes with ``turn``; it is the same in all buckets, so a document meets few different centres."""
+    own = apart.groupBy("id", "n", "component").agg(F.sort_array(F.collect_list(F.struct("band", "key"))).alias("own"))
+    near = lambda x, y: (y.band > x.band) & (F.least(y.band - x.band, F.lit(BANDS) - y.band + x.band) <= APART)
+    both = F.flatten(F.transform("own", lambda x: F.transform(F.filter("own", lambda y: near(x, y)), lambda y: F.xxhash64(x.key, y.key))))
+    finer = own.select("id", "n", "component", F.explode(both).alias("key"))
+    centre = F.min_by(F.struct("id", "n", "component"), F.xxhash64("id", F.lit(turn)))
+    stars = finer.groupBy("key").agg(centre.alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select(F.col("key").alias("_key"), "c")
+    spokes = finer.join(stars, F.col("key") == F.col("_key")).filter(F.col("component") != F.col("c.component"))
+    return _ordered("id", "cid", "n", "cn", spokes.select("id", "n", F.col("c.id").alias("cid"), F.col("c.n").alias("cn")))
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``; the smallest doc_id of a component is kept.
 
@@ -104,9 +119,10 @@ def classes(docs: DataFrame) -> DataFrame:
     Equal sets fold into one representative first, so groups of exact copies cost one row. Representatives meet in
     buckets of bands of their signatures, and two that reach the similarity of 0.75 share one but for 2 in 100,000.
     Within a bucket the edges are stars, never all pairs: (1) every member with the member of the least id and with one
-    drawn at random, (2) in buckets whose members are not yet connected, every member with the one that has most
-    links so far, (3) in what then is still apart, the members outside the bucket's largest component with those of
-    other components, so that no link between components is lost. Every edge is confirmed on the full sets.
+    drawn by a hash, (2) in buckets whose members are not yet connected, every member with the one that has most links
+    so far, (3) as long as that finds links, in finer buckets of what is still apart, those who share two bands, every
+    member with one more that each round draws anew. Every edge is confirmed on the full sets. Edges grow in proportion
+    to the members of buckets, whatever a bucket's size.
 
     Repeated rows of one doc_id are one document and stay or go together. A row without doc_id is in no component and
     is kept. Columns other than doc_id and text are not read. An empty table gives an empty result.
@@ -114,12 +130,12 @@ def classes(docs: DataFrame) -> DataFrame:
     schema = "doc_id long, n long, h1 long, h2 long, bands array<long>"
     signed = saved(docs.select("doc_id", "text").mapInArrow(_sign, schema), "near-signed")
     folded = saved(signed.filter("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "near-folded")
-    buckets = folded.select("id", "n", F.explode("bands").alias("key"))
+    buckets = folded.select("id", "n", F.posexplode("bands").alias("band", "key"))
     member = F.struct("id", "n")
-    centre = F.min_by(member, F.xxhash64("id", "key"))
+    centre = F.min_by(member, F.xxhash64("id"))
     stars = buckets.groupBy("key").agg(F.min(member).alias("first"), centre.alias("drawn"), F.count("*").alias("size")).filter("size > 1").withColumnRenamed("key", "_key")
-    starred = saved(buckets.join(stars, F.col("key") == F.col("_key")).select("key", "id", "n", "first", "drawn"), "near-starred")
-    members = starred.select("key", "id", "n")
+    starred = saved(buckets.join(stars, F.col("key") == F.col("_key")).select("band", "key", "id", "n", "first", "drawn"), "near-starred")
+    members = starred.select("band", "key", "id", "n")
     two = starred.select("id", "n", F.explode(F.array("first", "drawn")).alias("c")).select("id", "n", F.col("c.id").alias("cid"), F.col("c.n").alias("cn"))
     tested = saved(_ordered("id", "cid", "n", "cn", two), "near-pairs")
     wanted = members.select(F.col("id").alias("_id")).distinct()
@@ -128,25 +144,22 @@ def classes(docs: DataFrame) -> DataFrame:
     labels = components(links)
 
     degrees = links.select(F.explode(F.array("a", "b")).alias("_d")).groupBy("_d").agg(F.count("*").alias("degree"))
-    apart = saved(_across(members, labels), "near-apart")
-    if not apart.isEmpty():
-        weighed = apart.join(degrees, F.col("id") == F.col("_d"), "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-        hubs = weighed.groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("turned"), "id", "n", "component")).alias("hub")).select(F.col("key").alias("_key"), F.col("hub.id").alias("cid"), F.col("hub.n").alias("cn"), F.col("hub.component").alias("cc"))
-        spokes = apart.join(hubs, F.col("key") == F.col("_key")).filter("component <> cc")
-        more = saved(_ordered("id", "cid", "n", "cn", spokes).join(tested, ["a", "b"], "left_anti"), "near-pairs")
-        links = saved(links.unionByName(_verified(more, sets)).distinct(), "near-links")
-        labels = components(links)
-        tested = tested.unionByName(more)
-        apart = saved(_across(apart.drop("component"), labels), "near-apart")
-        sizes = apart.groupBy("key", "component").agg(F.count("*").alias("size"))
-        largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("major")).withColumnRenamed("key", "_key")
-        outside = apart.join(largest, F.col("key") == F.col("_key")).filter("component <> major").select(F.col("key").alias("_key"), F.col("id").alias("cid"), F.col("n").alias("cn"), F.col("component").alias("cc"))
-        fit = (F.col("component") != F.col("cc")) & (100 * F.least("n", "cn") >= THRESHOLD * F.greatest("n", "cn"))
-        rest = apart.join(outside, (F.col("key") == F.col("_key")) & fit)
-        last = saved(_ordered("id", "cid", "n", "cn", rest).join(tested, ["a", "b"], "left_anti"), "near-pairs")
-        if not last.isEmpty():
-            links = saved(links.unionByName(_verified(last, sets)).distinct(), "near-links")
+    apart = _across(members, labels)
+    weighed = apart.join(degrees, F.col("id") == F.col("_d"), "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    hubs = weighed.groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("turned"), "id", "n", "component")).alias("hub")).select(F.col("key").alias("_key"), F.col("hub.id").alias("cid"), F.col("hub.n").alias("cn"), F.col("hub.component").alias("cc"))
+    pairs = _ordered("id", "cid", "n", "cn", apart.join(hubs, F.col("key") == F.col("_key")).filter("component <> cc"))
+    turn = 0
+    while True:
+        more = saved(pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
+        fresh = saved(_verified(more, sets), "near-links")
+        found = not fresh.isEmpty()
+        if found:
+            links, tested = links.unionByName(fresh), tested.unionByName(more)
             labels = components(links)
+        if turn and not found:
+            break
+        turn += 1
+        pairs = _finer_stars(_across(members, labels), turn)
     dropped(sets)
     reps = folded.select("n", "h1", "h2", "id").join(labels.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left")
     found = reps.select(F.col("n").alias("_n"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.coalesce("component", "id").alias("_component"))
