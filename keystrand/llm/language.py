@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from keystrand.llm.store import free
 from keystrand.llm.words import LOWER, chunks, text_buffers
 
 #: The family of each language by its ISO 639-1 code; a language not listed is a family of its own.
@@ -125,10 +126,10 @@ def held_out(doc_id):
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     """Fit on at most ``per_language`` documents of each language, drawn by a hash of doc_id among those that are not
     held out and have lang and text. That bound is all that reaches the driver. None if there is none."""
-    known = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & F.col("doc_id").isNotNull())
+    known = docs.select("doc_id", "lang", "text").filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & F.col("doc_id").isNotNull())
     order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = known.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_language).select(F.col("doc_id").alias("_id")).distinct()
-    rows = known.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"), "left_semi").select("doc_id", "lang", "text").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
+    rows = known.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"), "left_semi").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
     if not len(rows):
         return None
     data, at = text_buffers(rows.column("text").combine_chunks())
@@ -142,11 +143,13 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     language's, each squashed to 0 to 1. Repeated rows are predicted alike.
     """
 
+    text, letters = free(docs, "lang_text"), free(docs, "lettered")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, at = text_buffers(batch.column("_lang_text"))
-            lettered = np.array(batch.column("_lettered").to_pylist(), dtype=bool)
-            keep = [i for i, n in enumerate(batch.schema.names) if n not in ("_lang_text", "_lettered")]
+            data, at = text_buffers(batch.column(text))
+            lettered = np.array(batch.column(letters).to_pylist(), dtype=bool)
+            keep = [i for i, n in enumerate(batch.schema.names) if n not in (text, letters)]
             for low, high in chunks(at, 1 << 21):
                 for a in range(low, high, 512):
                     z = min(high, a + 512)
@@ -155,7 +158,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                     cols = [batch.column(i).slice(a, z - a) for i in keep]
                     yield pa.RecordBatch.from_arrays([*cols, pa.array(np.where(known, langs, UNDECIDED), pa.string()), pa.array(np.where(known, score, 0.0), pa.float64())], [*(batch.schema.names[i] for i in keep), "lang_pred", "score"])
 
-    rows = docs.withColumns({"_lang_text": F.col("text"), "_lettered": F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))})
+    rows = docs.withColumns({text: F.col("text"), letters: F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))})
     schema = docs.schema.add("lang_pred", "string").add("score", "double") if not {"lang_pred", "score"} & set(docs.columns) else None
     if schema is None:
         raise ValueError("lang_pred and score are names of the result")

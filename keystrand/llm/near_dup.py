@@ -139,7 +139,7 @@ def classes(docs: DataFrame) -> DataFrame:
     two = starred.select("id", "n", F.explode(F.array("first", "drawn")).alias("c")).select("id", "n", F.col("c.id").alias("cid"), F.col("c.n").alias("cn"))
     tested = saved(_ordered("id", "cid", "n", "cn", two), "near-pairs")
     wanted = members.select(F.col("id").alias("_id")).distinct()
-    sets = saved(docs.join(wanted, F.col("doc_id") == F.col("_id"), "left_semi").select("doc_id", "text").mapInArrow(_gather, "doc_id long, shingles array<long>"), "near-sets")
+    sets = saved(docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("_id"), "left_semi").mapInArrow(_gather, "doc_id long, shingles array<long>"), "near-sets")
     links = saved(_verified(tested, sets), "near-links")
     labels = components(links)
 
