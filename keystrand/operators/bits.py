@@ -46,9 +46,9 @@ def run_from(bits: DataFrame, value: int) -> DataFrame:
     """(pos, n): bits of ``value`` in a row that start at each position; 0 at any other bit."""
     ranked = running_sums(ranged(bits, "pos"), ["pos"], {"rank": _is(value)})
     stop = F.when(F.col("bit") != value, F.col("rank"))
-    inside = F.min(stop).over(W.partitionBy(BUCKET).orderBy("pos").rowsBetween(0, W.unboundedFollowing))
+    inside = F.min(stop).over(W.partitionBy(BUCKET).orderBy(F.desc("pos")).rowsBetween(W.unboundedPreceding, 0))
     per = ranked.groupBy(BUCKET).agg(F.min(stop).alias("_stop"))
-    carried = per.select(F.col(BUCKET).alias("_at"), F.min("_stop").over(W.orderBy(BUCKET).rowsBetween(1, W.unboundedFollowing)).alias("_carried"))
+    carried = per.select(F.col(BUCKET).alias("_at"), F.min("_stop").over(W.orderBy(F.desc(BUCKET)).rowsBetween(W.unboundedPreceding, -1)).alias("_carried"))
     whole = ranked.agg(F.sum(_is(value)).alias("_whole"))
     joined = ranked.withColumn("_inside", inside).join(F.broadcast(carried), F.col(BUCKET) == F.col("_at")).join(F.broadcast(whole))
     return joined.select("pos", (F.coalesce("_inside", "_carried", "_whole") - F.col("rank")).cast("long").alias("n"))

@@ -1,7 +1,8 @@
 """Running sums and neighbours over a global order, in two passes, so that no window takes the whole table.
 
 Rows are dealt by ranges of the order; each range is summed up in one row; a window over those few rows (one a
-partition) gives each range what came before it; windows inside the ranges do the rest.
+partition) gives each range what came before it; windows inside the ranges do the rest. What follows a row is read as
+what comes before it in the order turned round, since a window that ends with the last row takes quadratic time.
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ def previous(df: DataFrame, order: list[str], value: str, name: str) -> DataFram
 def next_key(df: DataFrame, order: list[str], key: str, name: str) -> DataFrame:
     """``df`` (from :func:`ranged`) with the first ``key`` that isn't null in this row or a later one as ``name``."""
     least = df.groupBy(BUCKET).agg(F.min_by(key, F.when(F.col(key).isNotNull(), F.struct(*order))).alias("_least"))
-    carried = least.select(BUCKET, F.first("_least", ignorenulls=True).over(W.orderBy(BUCKET).rowsBetween(1, W.unboundedFollowing)).alias("_carried"))
-    inside = W.partitionBy(BUCKET).orderBy(*order).rowsBetween(0, W.unboundedFollowing)
-    joined = _with_carry(df.withColumn("_own", F.first(key, ignorenulls=True).over(inside)), carried)
+    carried = least.select(BUCKET, F.last("_least", ignorenulls=True).over(W.orderBy(F.desc(BUCKET)).rowsBetween(W.unboundedPreceding, -1)).alias("_carried"))
+    inside = W.partitionBy(BUCKET).orderBy(*[F.desc(c) for c in order]).rowsBetween(W.unboundedPreceding, 0)
+    joined = _with_carry(df.withColumn("_own", F.last(key, ignorenulls=True).over(inside)), carried)
     return joined.withColumn(name, F.coalesce("_own", "_carried")).drop("_own", "_carried")

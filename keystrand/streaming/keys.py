@@ -1,4 +1,4 @@
-"""Key sets over streams: the reference has no event time; these keep its set and counting operators incremental."""
+"""Key sets and counts over streams, kept up incrementally."""
 
 from __future__ import annotations
 
