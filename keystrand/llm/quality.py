@@ -15,6 +15,11 @@ STOP_WORDS = (
     "el los las y del se por con una su para al lo como más o"
 ).split()
 
+#: What a stop word may end with in a text.
+ENDINGS = ".,!?;:"
+#: No longer word, in bytes, is a stop word; lower-casing shortens a character by two bytes at most.
+LONGEST = 3 * max(len(w.encode()) for w in STOP_WORDS) // 2
+
 #: (name, measure, least or most, bound): a document fails if a measure is beyond its bound.
 THRESHOLDS: tuple[tuple[str, str, str, float], ...] = (
     ("short", "n_words", "least", 50),
@@ -27,18 +32,35 @@ THRESHOLDS: tuple[tuple[str, str, str, float], ...] = (
 )
 
 
-def _repeat_words(n: Column, hashes: Column) -> Column:
-    """Words inside 3-word windows that are found twice or more: windows are sorted by hash with their places, equal
-    neighbours kept, and the covered words summed over their sorted places."""
+#: Texts of up to so many words sort a place with the upper bits of its window's hash in one number.
+PACKED = ((1 << 12) - 1, (1 << 16) - 1)
+
+
+def _windows(n: Column, hashes: Column) -> Column:
+    """A hash for each window of three words."""
     most = F.greatest(n - 2, F.lit(0))
     pairs = F.zip_with(F.slice(hashes, 1, most), F.slice(hashes, F.lit(2), most), lambda a, b: F.xxhash64(a, b))
-    windows = F.zip_with(pairs, F.slice(hashes, F.lit(3), most), lambda p, c: F.xxhash64(p, c))
+    return F.zip_with(pairs, F.slice(hashes, F.lit(3), most), lambda p, c: F.xxhash64(p, c))
+
+
+def _repeated(placed: Column, same, place) -> Column:
+    """Sorted places of windows whose hash is that of a neighbour in ``placed``, which is sorted by hash."""
+    ahead = F.slice(placed, F.lit(2), F.greatest(F.size(placed) - 1, F.lit(0)))
+    steps = F.zip_with(placed, ahead, lambda x, y: F.coalesce(same(x, y), F.lit(False)))
+    before = F.concat(F.array(F.lit(False)), steps)
+    doubled = F.zip_with(F.zip_with(steps, before, lambda x, y: x | y), placed, lambda d, x: F.when(d, place(x)))
+    return F.sort_array(F.array_compact(doubled))
+
+
+def _packed_places(windows: Column, mask: Column) -> Column:
+    """Places of repeated windows by a sort of plain numbers: a hash's upper 48 bits or more, then the place."""
+    placed = F.sort_array(F.transform(windows, lambda h, i: h.bitwiseAND(F.bitwise_not(mask)).bitwiseOR(i.cast("long"))))
+    return _repeated(placed, lambda x, y: x.bitwiseXOR(y).between(0, mask), lambda x: x.bitwiseAND(mask).cast("int"))
+
+
+def _long_places(windows: Column) -> Column:
     placed = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    ahead = F.slice(placed, F.lit(2), most)
-    behind = F.concat(F.array(F.lit(None).cast("struct<h:bigint,i:int>")), placed)
-    marked = F.zip_with(F.zip_with(placed, ahead, lambda x, y: F.struct(x.h.alias("h"), x.i.alias("i"), y.h.alias("up"))), F.slice(behind, F.lit(1), most), lambda x, z: F.when((x.h == x.up) | (x.h == z.h), x.i))
-    places = F.sort_array(F.filter(marked, lambda i: i.isNotNull()))
-    return places, windows
+    return _repeated(placed, lambda x, y: x.h == y.h, lambda x: x.i)
 
 
 def _covered(places: Column) -> Column:
@@ -50,22 +72,26 @@ def measures(docs: DataFrame) -> DataFrame:
     """doc_id and the counts and ratios that rules compare, for every row.
 
     Words are runs of characters other than space and U+0009 to U+000D, over the whole text; null text has none.
-    Windows of three words are compared by a 64-bit hash. Ratios over no words or no lines are 0. Repeated rows are
+    Windows of three words are compared by hash: 52 bits of it in texts of up to 4,095 words, 48 in those of up to
+    65,535, 64 in longer ones. Ratios over no words or no lines are 0. Repeated rows are
     measured alike; other columns are not read.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    split = docs.select("doc_id", text.alias("text"), F.filter(F.split(text, WHITE), lambda w: w != "").alias("words"), F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
+    split = docs.select("doc_id", text.alias("text"), F.array_remove(F.split(text, WHITE), "").alias("words"), F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
     hashed = split.withColumns({"n": F.size("words"), "hashes": F.transform("words", lambda w: F.xxhash64(w))})
-    places, windows = _repeat_words(F.col("n"), F.col("hashes"))
-    repeated = F.when(F.size(F.array_distinct(windows)) == F.greatest(F.col("n") - 2, F.lit(0)), F.lit(0).cast("long")).otherwise(_covered(places))
-    stops = F.size(F.filter("words", lambda w: F.lower(F.rtrim(w, F.lit(".,!?;:"))).isin(STOP_WORDS)))
+    hashed = hashed.withColumn("windows", _windows(F.col("n"), F.col("hashes")))
+    mask = F.when(F.col("n") <= PACKED[0], F.lit(PACKED[0]).cast("long")).otherwise(F.lit(PACKED[1]).cast("long"))
+    places = F.when(F.col("n") <= PACKED[1], _packed_places(F.col("windows"), mask)).otherwise(_long_places(F.col("windows")))
+    hashed = hashed.withColumn("places", places)
+    closed = lambda w: F.substring(w, -1, 1).isin(*ENDINGS)
+    stops = F.size(F.filter("words", lambda w: F.when(closed(w), F.lower(F.rtrim(w, F.lit(ENDINGS))).isin(STOP_WORDS)).otherwise((F.octet_length(w) <= LONGEST) & F.lower(w).isin(STOP_WORDS))))
     counted = hashed.select(
         "doc_id",
         F.col("n").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        repeated.alias("n_repeat_words"),
+        _covered(F.col("places")).alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
         F.regexp_count("text", F.lit("!")).cast("long").alias("n_bangs"),
         stops.cast("long").alias("n_stops"),

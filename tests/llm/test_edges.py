@@ -150,6 +150,21 @@ def test_components_of_a_chain(spark):
     assert found == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
+def test_repeated_windows_of_texts_of_any_length(spark):
+    import random
+
+    rng, rows = random.Random(7), []
+    for n in (0, 1, 2, 3, 4, 50, 4095, 4096, 65535, 65536, 70_000):
+        rows.append((n, " ".join(rng.choice("abcdefghijklmnop") * rng.randint(1, 3) for _ in range(n))))
+    told = {}
+    for i, text in rows:
+        words = text.split()
+        seen = Counter(zip(words, words[1:], words[2:], strict=False))
+        told[i] = len({k + j for k, w in enumerate(zip(words, words[1:], words[2:], strict=False)) if seen[w] > 1 for j in range(3)})
+    found = {r.doc_id: (r.n_words, r.n_repeat_words) for r in quality.measures(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {i: (i, n) for i, n in told.items()}
+
+
 # the pipeline
 
 
