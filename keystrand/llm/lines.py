@@ -3,35 +3,82 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from keystrand.llm.store import dropped, saved
-from keystrand.llm.words import Words, chunks, mix64, text_buffers, words_of
+from keystrand.llm.words import chunks, mix64, text_buffers, words_of
 
 SKETCH = 1 << 18
 SLICE = 1 << 12
-MARKS = 1 << 23
+MARKS = 1 << 25
+SEEN = 1 << 20
 
 
-def _line_sets(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(row, line number, sorted distinct token hashes) of every line with a token."""
-    words: Words = words_of(data, at)
+@dataclass
+class Lines:
+    """Lines with tokens of some texts: first[i]:first[i + 1] are the i-th line's sorted distinct token hashes."""
+
+    row: np.ndarray
+    number: np.ndarray
+    first: np.ndarray
+    tokens: np.ndarray
+
+    @property
+    def sizes(self) -> np.ndarray:
+        return np.diff(self.first)
+
+    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two sums that stand for each set."""
+        return _summed(self.tokens, self.first), _summed(mix64(self.tokens + np.uint64(7)), self.first)
+
+    def parities(self) -> np.ndarray:
+        """64 bits a set: whether an odd number of its tokens falls to the bit."""
+        bits = np.uint64(1) << (self.tokens >> np.uint64(58))
+        return np.bitwise_xor.reduceat(bits, self.first[:-1]) if len(bits) else np.zeros(0, np.uint64)
+
+
+def _summed(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(values, first[:-1]) if len(values) else np.zeros(0, np.uint64)
+
+
+def _lines(data: np.ndarray, at: np.ndarray) -> Lines:
+    words = words_of(data, at)
+    if not len(words.starts):
+        none = np.zeros(0, np.int64)
+        return Lines(none, none, np.zeros(1, np.int64), np.zeros(0, np.uint64))
     breaks = np.flatnonzero(data[at[0] : at[-1]] == 0x0A) + at[0]
     line = np.searchsorted(breaks, words.starts)
     row = np.repeat(np.arange(len(at) - 1), np.diff(words.first))
-    opening = np.searchsorted(breaks, at[:-1])
-    cuts = np.flatnonzero(np.concatenate([[True], (line[1:] != line[:-1]) | (row[1:] != row[:-1])])) if len(line) else np.zeros(0, np.int64)
-    for low, high in zip(cuts, np.append(cuts[1:], len(line)), strict=True):
-        r = int(row[low])
-        yield r, int(line[low] - opening[r]), np.unique(words.hashes[low:high])
+    opened = np.concatenate([[True], (line[1:] != line[:-1]) | (row[1:] != row[:-1])])
+    place = np.cumsum(opened) - 1
+    order = np.lexsort((words.hashes, place))
+    tokens = words.hashes[order]
+    fresh = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (place[1:] != place[:-1])])
+    heads = row[opened]
+    number = line[opened] - np.searchsorted(breaks, at[:-1])[heads]
+    first = np.concatenate([np.searchsorted(place[fresh], np.arange(len(heads))), [int(fresh.sum())]])
+    return Lines(heads, number, first, tokens[fresh])
+
+
+def _unseen(seen: set[tuple[int, int]], one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Which sets the task hasn't met yet. What it remembers is bounded: past ``SEEN`` sets it starts anew, and later
+    steps fold what then comes twice."""
+    out = np.zeros(len(one), dtype=bool)
+    for i, key in enumerate(zip(one.tolist(), two.tolist(), strict=True)):
+        if key not in seen:
+            if len(seen) >= SEEN:
+                seen.clear()
+            seen.add(key)
+            out[i] = True
+    return out
 
 
-def _batches(batches: Iterator[pa.RecordBatch]):
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     for batch in batches:
         data, at = text_buffers(batch.column("text"))
         for low, high in chunks(at):
@@ -48,9 +95,7 @@ def token_sketch(docs: DataFrame) -> np.ndarray:
     def run(batches):
         counts = np.zeros(SKETCH, np.int64)
         for _, data, at in _batches(batches):
-            sets = [s for _, _, s in _line_sets(data, at)]
-            if sets:
-                counts += np.bincount((np.concatenate(sets) >> np.uint64(46)).astype(np.int64), minlength=SKETCH)
+            counts += np.bincount((_lines(data, at).tokens >> np.uint64(46)).astype(np.int64), minlength=SKETCH)
         if counts.any():
             parts = counts.reshape(-1, SLICE)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts))), pa.array(list(parts), pa.list_(pa.int64()))], ["part", "counts"])
@@ -69,60 +114,62 @@ def token_sketch(docs: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def _least_shared(n, m):
-    """Tokens that sets of n and m must share for a Jaccard similarity of 0.75 or more: three sevenths of both."""
-    return -(-3 * (n + m) // 7)
+def _scan(docs: DataFrame) -> DataFrame:
+    """A row for each line with tokens: the set's size and 128-bit hash."""
+
+    def run(batches):
+        for ids, data, at in _batches(batches):
+            lines = _lines(data, at)
+            hashes = [pa.array(x.view(np.int64)) for x in lines.hashes()]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(lines.row)), pa.array(lines.number.astype(np.int32)), pa.array(lines.sizes.astype(np.int32)), *hashes], ["doc_id", "line", "n", "h1", "h2"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, line int, n int, h1 long, h2 long")
 
 
-def _scan(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
-    """A row for each line with tokens: the set's size and 128-bit hash, and the prefix of its rarest tokens in which
-    two similar sets must meet."""
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+def _prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
+    """A row for each token of the prefix of a set, the rarest n - ceil(3n / 4) + 1, in which it must meet any similar
+    set: the token, its place from the rarest on, the set's first hash, size and parities. A task tells of equal sets
+    once."""
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches):
-        ranks = shared.value
-        for ids, data, at in _batches(batches):
-            rows, lines, sizes, one, two, prefix = [], [], [], [], [], []
-            for r, line, s in _line_sets(data, at):
-                n = len(s)
-                rows.append(r)
-                lines.append(line)
-                sizes.append(n)
-                one.append(s.sum(dtype=np.uint64))
-                two.append(mix64(s + np.uint64(7)).sum(dtype=np.uint64))
-                prefix.append(s[np.argsort(ranks[(s >> np.uint64(46)).astype(np.int64)], kind="stable")[: n - (3 * n + 3) // 4 + 1]])
-            ends = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
-            flat = np.concatenate(prefix).view(np.int64) if prefix else np.zeros(0, np.int64)
-            hashes = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (one, two)]
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows, pa.int64())), pa.array(lines, pa.int32()), pa.array(sizes, pa.int32()), *hashes, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "line", "n", "h1", "h2", "prefix"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, line int, n int, h1 long, h2 long, prefix array<long>")
+        counts, seen = shared.value, set()
+        for _, data, at in _batches(batches):
+            lines = _lines(data, at)
+            one, two = lines.hashes()
+            n = lines.sizes
+            of = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((counts[(lines.tokens >> np.uint64(46)).astype(np.int64)], of))
+            rank = np.arange(len(of)) - lines.first[of]
+            kept = (rank < (n - (3 * n + 3) // 4 + 1)[of]) & _unseen(seen, one, two)[of]
+            of, rank, tokens = of[kept], rank[kept], lines.tokens[order][kept]
+            yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(rank.astype(np.int32)), pa.array(one[of].view(np.int64)), pa.array(n[of].astype(np.int32)), pa.array(lines.parities()[of].view(np.int64))], ["token", "at", "h1", "n", "bits"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "token long, at int, h1 long, n int, bits long")
 
 
 def _fetch(docs: DataFrame, marks: np.ndarray) -> DataFrame:
-    """The full token sets of lines whose hash is marked."""
+    """The full token sets of lines whose hash is marked. A task tells of equal sets once."""
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(marks))
 
     def run(batches):
-        marks = np.unpackbits(shared.value)
+        marks, seen = np.unpackbits(shared.value).view(bool), set()
         for _, data, at in _batches(batches):
-            one, two, sets = [], [], []
-            for _, _, s in _line_sets(data, at):
-                h = s.sum(dtype=np.uint64)
-                if marks[int(h) % MARKS]:
-                    one.append(h)
-                    two.append(mix64(s + np.uint64(7)).sum(dtype=np.uint64))
-                    sets.append(s)
-            ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-            hashes = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (one, two)]
+            lines = _lines(data, at)
+            one, two = lines.hashes()
+            kept = marks[(one % np.uint64(MARKS)).astype(np.int64)]
+            kept[kept] = _unseen(seen, one[kept], two[kept])
+            n = lines.sizes
+            ends = np.concatenate([[0], np.cumsum(n[kept])]).astype(np.int32)
+            flat = lines.tokens[np.repeat(kept, n)].view(np.int64)
+            hashes = [pa.array(x[kept].view(np.int64)) for x in (one, two)]
             yield pa.RecordBatch.from_arrays([*hashes, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["h1", "h2", "tokens"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "h1 long, h2 long, tokens array<long>")
 
 
 def _marks(candidates: DataFrame) -> np.ndarray:
-    """A bit for each of ``MARKS`` buckets that a candidate's hash falls in: one megabyte at most on the driver."""
+    """A bit for each of ``MARKS`` buckets that a candidate's hash falls in: one row for each 32 buckets on the driver, whatever the input."""
     bucket = F.col("h1").bitwiseAND(F.lit(MARKS - 1)).cast("int")
     words = candidates.select(bucket.alias("at")).groupBy(F.shiftright("at", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, at & 31)")).alias("bits"))
     out = np.zeros(MARKS // 32, np.uint32)
@@ -131,42 +178,53 @@ def _marks(candidates: DataFrame) -> np.ndarray:
     return ((out[:, None] >> np.arange(32, dtype=np.uint32)) & np.uint32(1)).astype(bool).reshape(-1)
 
 
+def _met(prefixes: DataFrame) -> DataFrame:
+    """(g1, h1): first hashes of sets, the one of fewer tokens first, that may be similar. One shuffle serves both sides.
+
+    They share a token of the smaller set's rarest n - ceil(6n / 7) + 1 tokens, as the larger has at least as many
+    tokens, and of the larger set's prefix. Sizes differ by a quarter at most; the tokens that can still
+    follow in both suffice; and each bit in which the parities differ is a token that one set has alone.
+    """
+    dealt = prefixes.repartition("token").distinct()
+    small = dealt.filter("at < n - ceil(6 * n / 7) + 1").select(F.col("token").alias("_token"), F.col("at").alias("_at"), F.col("h1").alias("g1"), F.col("n").alias("m"), F.col("bits").alias("_bits"))
+    need = F.ceil(3 * (F.col("n") + F.col("m")) / F.lit(7))
+    ahead = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("_at"))
+    alone = F.bit_count(F.col("bits").bitwiseXOR(F.col("_bits")))
+    order = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("g1") < F.col("h1")))
+    fit = order & (4 * F.col("m") >= 3 * F.col("n")) & (ahead >= need) & (F.col("n") + F.col("m") - alone >= 2 * need)
+    return dealt.join(small, (F.col("token") == F.col("_token")) & fit).select("g1", "h1").distinct()
+
+
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line): lines whose token set has a Jaccard similarity of 0.75 or more with that of an earlier line.
 
     Lines are parted by U+000A and numbered from 0; tokens are words with A-Z lower-cased; lines come in the order of
-    doc_id, then number. Equal sets fold into the first of them. The folded sets join on a common token of their
-    prefixes, the rarest n - ceil(3n / 4) + 1 tokens of each: two similar sets share one. Sizes may differ by a quarter,
-    and the tokens that can still follow in both must suffice; what passes is confirmed on the full sets.
+    doc_id, then number. Equal sets fold into the first of them. Sets join on a common token of their prefixes; length,
+    positions and parities rule pairs out, and what passes is confirmed on the full sets.
 
     Lines without tokens stay. Null texts have no lines. Repeated rows of one doc_id are one document and lose the same
     lines; rows without doc_id come first in order. Other columns are not read.
     """
-    counts = token_sketch(docs)
-    lines = saved(_scan(docs, counts), "lines")
+    lines = saved(_scan(docs), "lines")
     place = F.struct("doc_id", "line")
-    folded = saved(lines.groupBy("n", "h1", "h2").agg(F.min(place).alias("place"), F.first("prefix").alias("prefix")), "line-sets")
-    tokens = folded.select("n", "h1", "h2", "place", F.posexplode("prefix").alias("at", "token"))
-    met = saved(tokens.withColumn("with", F.count("*").over(W.partitionBy("token"))).filter("with > 1").drop("with"), "line-tokens")
-    other = met.select(F.col("token").alias("_token"), F.col("n").alias("m"), F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("place").alias("before"), F.col("at").alias("_at"))
-    need = F.ceil(3 * (F.col("n") + F.col("m")) / F.lit(7))
-    ahead = 1 + F.least(F.col("n") - F.col("at") - 1, F.col("m") - F.col("_at") - 1)
-    fit = (4 * F.least("n", "m") >= 3 * F.greatest("n", "m")) & (ahead >= need)
-    pairs = met.join(other, (F.col("token") == F.col("_token")) & (F.col("before") < F.col("place")) & fit).select("n", "m", "h1", "h2", "g1", "g2").distinct()
-    pairs = saved(pairs, "line-pairs")
-    sides = pairs.select("h1", "h2").union(pairs.select("g1", "g2")).distinct()
-    sets = saved(_fetch(docs, _marks(sides)).join(sides, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("tokens").alias("tokens")), "line-tokens-full")
-    left = sets.select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.col("tokens").alias("x"))
-    right = sets.select(F.col("h1").alias("_g1"), F.col("h2").alias("_g2"), F.col("tokens").alias("y"))
-    both = pairs.join(left, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))).join(right, (F.col("g1") == F.col("_g1")) & (F.col("g2") == F.col("_g2")))
-    shared = F.size(F.array_intersect("x", "y"))
-    alike = both.filter(4 * shared >= 3 * (F.col("n") + F.col("m") - shared)).select(F.col("n").alias("_n"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).distinct().withColumn("late", F.lit(True))
-    first = folded.select(F.col("n").alias("_n"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "place").join(alike, ["_n", "_h1", "_h2"], "left")
-    same = (F.col("n") == F.col("_n")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))
-    placed = lines.select("doc_id", "line", "n", "h1", "h2").join(first, same)
+    folded = saved(lines.groupBy("n", "h1", "h2").agg(F.min(place).alias("place")), "line-sets")
+    pairs = saved(_met(_prefixes(docs, token_sketch(docs))), "line-pairs")
+    sides = pairs.select("h1").union(pairs.select("g1")).distinct()
+    whole = _fetch(docs, _marks(sides)).join(sides, "h1", "left_semi").groupBy("h1", "h2").agg(F.first("tokens").alias("tokens"))
+    sets = saved(whole.join(folded.select("h1", "h2", "place"), ["h1", "h2"]), "line-tokens")
+    left = sets.select(F.col("h1").alias("_h1"), F.struct("place", "h1", "h2").alias("x"), F.col("tokens").alias("xs"))
+    right = sets.select(F.col("h1").alias("_g1"), F.struct("place", "h1", "h2").alias("y"), F.col("tokens").alias("ys"))
+    both = pairs.join(left, F.col("h1") == F.col("_h1")).join(right, F.col("g1") == F.col("_g1"))
+    shared = F.size(F.array_intersect("xs", "ys"))
+    apart = ~F.col("x.place").eqNullSafe(F.col("y.place"))
+    alike = both.filter(apart & (4 * shared >= 3 * (F.size("xs") + F.size("ys") - shared))).select(F.greatest("x", "y").alias("later"))
+    late = alike.select(F.col("later.h1").alias("_h1"), F.col("later.h2").alias("_h2")).distinct().withColumn("late", F.lit(True))
+    first = folded.select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "place").join(late, ["_h1", "_h2"], "left")
+    same = (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))
+    placed = lines.select("doc_id", "line", "h1", "h2").join(first, same)
     gone = placed.filter(F.col("late").isNotNull() | ~F.struct("doc_id", "line").eqNullSafe(F.col("place")))
     out = saved(gone.select("doc_id", "line").distinct(), "lines-removed")
-    for table in (met, pairs, sets, lines, folded):
+    for table in (pairs, sets, lines, folded):
         dropped(table)
     return out
 
