@@ -7,8 +7,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from keystrand.llm.store import dropped, saved
 from keystrand.llm.words import chunks, mix64, text_buffers, words_of
@@ -46,6 +47,17 @@ def _summed(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, first[:-1]) if len(values) else np.zeros(0, np.uint64)
 
 
+def _by_line(place: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The order of lines, then hashes. One number of 64 bits tells it, unless lines are many or hashes too close."""
+    if place[-1] < 1 << 20:
+        key = (place.astype(np.uint64) << np.uint64(44)) | (hashes >> np.uint64(20))
+        order = np.argsort(key)
+        key, sorted_hashes = key[order], hashes[order]
+        if not ((key[1:] == key[:-1]) & (sorted_hashes[1:] != sorted_hashes[:-1])).any():
+            return order
+    return np.lexsort((hashes, place))
+
+
 def _lines(data: np.ndarray, at: np.ndarray) -> Lines:
     words = words_of(data, at)
     if not len(words.starts):
@@ -56,7 +68,7 @@ def _lines(data: np.ndarray, at: np.ndarray) -> Lines:
     row = np.repeat(np.arange(len(at) - 1), np.diff(words.first))
     opened = np.concatenate([[True], (line[1:] != line[:-1]) | (row[1:] != row[:-1])])
     place = np.cumsum(opened) - 1
-    order = np.lexsort((words.hashes, place))
+    order = _by_line(place, words.hashes)
     tokens = words.hashes[order]
     fresh = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (place[1:] != place[:-1])])
     heads = row[opened]
@@ -126,26 +138,33 @@ def _scan(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, line int, n int, h1 long, h2 long")
 
 
-def _prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
+def _prefixes(docs: DataFrame, counts: np.ndarray, few: bool = False, settled: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
     """A row for each token of the prefix of a set, the rarest n - ceil(3n / 4) + 1, in which it must meet any similar
-    set: the token, its place from the rarest on, the set's first hash, size and parities. A task tells of equal sets
-    once."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    set: the token, its place from the rarest on, the set's first hash, size and parities, whether it is settled, and
+    the line. A task tells of equal sets once. ``few``: only every third of the n - ceil(6n / 7) + 1 rarest tokens."""
+    shared = docs.sparkSession.sparkContext.broadcast((counts, settled and tuple(np.packbits(x) for x in settled)))
 
     def run(batches):
-        counts, seen = shared.value, set()
-        for _, data, at in _batches(batches):
+        (counts, packed), seen = shared.value, set()
+        marks = packed and [np.unpackbits(x).view(bool) for x in packed]
+        for ids, data, at in _batches(batches):
             lines = _lines(data, at)
             one, two = lines.hashes()
             n = lines.sizes
             of = np.repeat(np.arange(len(n)), n)
             order = np.lexsort((counts[(lines.tokens >> np.uint64(46)).astype(np.int64)], of))
             rank = np.arange(len(of)) - lines.first[of]
-            kept = (rank < (n - (3 * n + 3) // 4 + 1)[of]) & _unseen(seen, one, two)[of]
+            if few:
+                kept = (rank < (n - (6 * n + 6) // 7 + 1)[of]) & (rank % 3 == 0)
+            else:
+                kept = rank < (n - (3 * n + 3) // 4 + 1)[of]
+            kept &= _unseen(seen, one, two)[of]
             of, rank, tokens = of[kept], rank[kept], lines.tokens[order][kept]
-            yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(rank.astype(np.int32)), pa.array(one[of].view(np.int64)), pa.array(n[of].astype(np.int32)), pa.array(lines.parities()[of].view(np.int64))], ["token", "at", "h1", "n", "bits"])
+            done = marks[0][_bucket(one)] & ~marks[1][_bucket(two)] if marks else np.zeros(len(n), dtype=bool)
+            columns = [tokens.view(np.int64), rank.astype(np.int32), one[of].view(np.int64), n[of].astype(np.int32), lines.parities()[of].view(np.int64), done[of]]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), ids.take(pa.array(lines.row[of])), pa.array(lines.number[of].astype(np.int32))], ["token", "at", "h1", "n", "bits", "settled", "doc_id", "line"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "token long, at int, h1 long, n int, bits long")
+    return docs.select("doc_id", "text").mapInArrow(run, "token long, at int, h1 long, n int, bits long, settled boolean, doc_id long, line int")
 
 
 def _fetch(docs: DataFrame, marks: np.ndarray) -> DataFrame:
@@ -157,7 +176,7 @@ def _fetch(docs: DataFrame, marks: np.ndarray) -> DataFrame:
         for _, data, at in _batches(batches):
             lines = _lines(data, at)
             one, two = lines.hashes()
-            kept = marks[(one % np.uint64(MARKS)).astype(np.int64)]
+            kept = marks[_bucket(one)]
             kept[kept] = _unseen(seen, one[kept], two[kept])
             n = lines.sizes
             ends = np.concatenate([[0], np.cumsum(n[kept])]).astype(np.int32)
@@ -168,47 +187,52 @@ def _fetch(docs: DataFrame, marks: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "h1 long, h2 long, tokens array<long>")
 
 
-def _marks(candidates: DataFrame) -> np.ndarray:
-    """A bit for each of ``MARKS`` buckets that a candidate's hash falls in: one row for each 32 buckets on the driver, whatever the input."""
-    bucket = F.col("h1").bitwiseAND(F.lit(MARKS - 1)).cast("int")
-    words = candidates.select(bucket.alias("at")).groupBy(F.shiftright("at", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, at & 31)")).alias("bits"))
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes % np.uint64(MARKS)).astype(np.int64)
+
+
+def _marks(hashes: DataFrame) -> np.ndarray:
+    """A bit for each of ``MARKS`` buckets that a hash (the only column) falls in. The driver takes one row for each 32
+    buckets, whatever the input."""
+    bucket = F.col(hashes.columns[0]).bitwiseAND(F.lit(MARKS - 1)).cast("int")
+    words = hashes.select(bucket.alias("at")).groupBy(F.shiftright("at", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, at & 31)")).alias("bits"))
     out = np.zeros(MARKS // 32, np.uint32)
     rows = words.toArrow()
     out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().astype(np.uint32)
     return ((out[:, None] >> np.arange(32, dtype=np.uint32)) & np.uint32(1)).astype(bool).reshape(-1)
 
 
-def _met(prefixes: DataFrame) -> DataFrame:
-    """(g1, h1): first hashes of sets, the one of fewer tokens first, that may be similar. One shuffle serves both sides.
+def _fit(n: str, at: str, bits: str, m: str, at_m: str, bits_m: str) -> Column:
+    """Whether sets of n and m tokens that share those at the given places may be similar: sizes differ by a quarter at
+    most, the tokens that can still follow in both suffice, and each bit in which the parities differ is a token that
+    one set has alone."""
+    need = F.ceil(3 * (F.col(n) + F.col(m)) / F.lit(7))
+    ahead = F.least(F.col(n) - F.col(at), F.col(m) - F.col(at_m))
+    alone = F.bit_count(F.col(bits).bitwiseXOR(F.col(bits_m)))
+    return (4 * F.least(n, m) >= 3 * F.greatest(n, m)) & (ahead >= need) & (F.col(n) + F.col(m) - alone >= 2 * need)
 
-    They share a token of the smaller set's rarest n - ceil(6n / 7) + 1 tokens, as the larger has at least as many
-    tokens, and of the larger set's prefix. Sizes differ by a quarter at most; the tokens that can still
-    follow in both suffice; and each bit in which the parities differ is a token that one set has alone.
-    """
-    dealt = prefixes.repartition("token").distinct()
-    small = dealt.filter("at < n - ceil(6 * n / 7) + 1").select(F.col("token").alias("_token"), F.col("at").alias("_at"), F.col("h1").alias("g1"), F.col("n").alias("m"), F.col("bits").alias("_bits"))
-    need = F.ceil(3 * (F.col("n") + F.col("m")) / F.lit(7))
-    ahead = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("_at"))
-    alone = F.bit_count(F.col("bits").bitwiseXOR(F.col("_bits")))
-    order = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("g1") < F.col("h1")))
-    fit = order & (4 * F.col("m") >= 3 * F.col("n")) & (ahead >= need) & (F.col("n") + F.col("m") - alone >= 2 * need)
-    return dealt.join(small, (F.col("token") == F.col("_token")) & fit).select("g1", "h1").distinct()
 
+def _with_first(prefixes: DataFrame) -> DataFrame:
+    """(g1, h1): each set with the one that comes first among those with its token, if they may be similar."""
+    dealt = prefixes.repartition("token").select("token", "at", "h1", "n", "bits", F.struct("doc_id", "line").alias("place"))
+    first = F.first(F.struct("at", "h1", "n", "bits")).over(W.partitionBy("token").orderBy("place").rowsBetween(W.unboundedPreceding, W.currentRow))
+    rows = dealt.withColumn("c", first).filter(F.col("h1") != F.col("c.h1"))
+    return rows.filter(_fit("n", "at", "bits", "c.n", "c.at", "c.bits")).select(F.col("c.h1").alias("g1"), "h1").distinct()
 
-def removed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line): lines whose token set has a Jaccard similarity of 0.75 or more with that of an earlier line.
 
-    Lines are parted by U+000A and numbered from 0; tokens are words with A-Z lower-cased; lines come in the order of
-    doc_id, then number. Equal sets fold into the first of them. Sets join on a common token of their prefixes; length,
-    positions and parities rule pairs out, and what passes is confirmed on the full sets.
+def _met(prefixes: DataFrame) -> DataFrame:
+    """(g1, h1): all pairs of sets that share a token of their prefixes and may be similar, the one of fewer tokens
+    first, but for those of two settled sets. One shuffle serves both sides."""
+    dealt = prefixes.select("token", "at", "h1", "n", "bits", "settled").repartition("token").distinct()
+    other = dealt.select(F.col("token").alias("_token"), F.col("at").alias("_at"), F.col("h1").alias("g1"), F.col("n").alias("m"), F.col("bits").alias("_bits"), F.col("settled").alias("_settled"))
+    order = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("g1") < F.col("h1")))
+    fit = order & ~(F.col("settled") & F.col("_settled")) & _fit("n", "at", "bits", "m", "_at", "_bits")
+    return dealt.join(other, (F.col("token") == F.col("_token")) & fit).select("g1", "h1").distinct()
 
-    Lines without tokens stay. Null texts have no lines. Repeated rows of one doc_id are one document and lose the same
-    lines; rows without doc_id come first in order. Other columns are not read.
-    """
-    lines = saved(_scan(docs), "lines")
-    place = F.struct("doc_id", "line")
-    folded = saved(lines.groupBy("n", "h1", "h2").agg(F.min(place).alias("place")), "line-sets")
-    pairs = saved(_met(_prefixes(docs, token_sketch(docs))), "line-pairs")
+
+def _later(docs: DataFrame, folded: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(h1, h2) of the later set of each pair whose full sets are similar."""
+    pairs = saved(pairs, "line-pairs")
     sides = pairs.select("h1").union(pairs.select("g1")).distinct()
     whole = _fetch(docs, _marks(sides)).join(sides, "h1", "left_semi").groupBy("h1", "h2").agg(F.first("tokens").alias("tokens"))
     sets = saved(whole.join(folded.select("h1", "h2", "place"), ["h1", "h2"]), "line-tokens")
@@ -218,13 +242,41 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     shared = F.size(F.array_intersect("xs", "ys"))
     apart = ~F.col("x.place").eqNullSafe(F.col("y.place"))
     alike = both.filter(apart & (4 * shared >= 3 * (F.size("xs") + F.size("ys") - shared))).select(F.greatest("x", "y").alias("later"))
-    late = alike.select(F.col("later.h1").alias("_h1"), F.col("later.h2").alias("_h2")).distinct().withColumn("late", F.lit(True))
+    out = saved(alike.select("later.h1", "later.h2").distinct(), "lines-later")
+    for table in (pairs, sets):
+        dropped(table)
+    return out
+
+
+def removed_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, line): lines whose token set has a Jaccard similarity of 0.75 or more with that of an earlier line.
+
+    Lines are parted by U+000A and numbered from 0; tokens are words with A-Z lower-cased; lines come in the order of
+    doc_id, then number. Equal sets fold into the first of them. Sets join on a common token of their prefixes; length,
+    positions and parities rule pairs out, and what passes is confirmed on the full sets. So that groups of near copies
+    don't give all their pairs, sets are first held against the earliest that has their token alone; those found later
+    than a similar one are settled, and the whole join leaves out pairs of two settled sets. Settled sets are told by two
+    tables of bits: first hashes of settled sets, less second hashes of others that fall on them. So none is taken for
+    settled that isn't.
+
+    Lines without tokens stay. Null texts have no lines. Repeated rows of one doc_id are one document and lose the same
+    lines; rows without doc_id come first in order. Other columns are not read.
+    """
+    lines = saved(_scan(docs), "lines")
+    folded = saved(lines.groupBy("n", "h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("place")), "line-sets")
+    counts = token_sketch(docs)
+    early = _later(docs, folded, _with_first(_prefixes(docs, counts, few=True)))
+    settled = _marks(early.select("h1"))
+    at = F.col("h1").bitwiseAND(F.lit(MARKS - 1))
+    fallen = folded.join(early, ["h1", "h2"], "left_anti").join(early.select(at.alias("_at")).distinct(), at == F.col("_at"), "left_semi")
+    rest = _later(docs, folded, _met(_prefixes(docs, counts, settled=(settled, _marks(fallen.select("h2"))))))
+    late = early.union(rest).distinct().select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.lit(True).alias("late"))
     first = folded.select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "place").join(late, ["_h1", "_h2"], "left")
     same = (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))
     placed = lines.select("doc_id", "line", "h1", "h2").join(first, same)
     gone = placed.filter(F.col("late").isNotNull() | ~F.struct("doc_id", "line").eqNullSafe(F.col("place")))
     out = saved(gone.select("doc_id", "line").distinct(), "lines-removed")
-    for table in (pairs, sets, lines, folded):
+    for table in (early, rest, lines, folded):
         dropped(table)
     return out
 
