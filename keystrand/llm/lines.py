@@ -160,7 +160,7 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, few: bool = False, settled: t
                 kept = rank < (n - (3 * n + 3) // 4 + 1)[of]
             kept &= _unseen(seen, one, two)[of]
             of, rank, tokens = of[kept], rank[kept], lines.tokens[order][kept]
-            done = marks[0][_bucket(one)] & ~marks[1][_bucket(two)] if marks else np.zeros(len(n), dtype=bool)
+            done = _marked(marks[0], one) & ~_marked(marks[1], two) if marks else np.zeros(len(n), dtype=bool)
             columns = [tokens.view(np.int64), rank.astype(np.int32), one[of].view(np.int64), n[of].astype(np.int32), lines.parities()[of].view(np.int64), done[of]]
             yield pa.RecordBatch.from_arrays([*map(pa.array, columns), ids.take(pa.array(lines.row[of])), pa.array(lines.number[of].astype(np.int32))], ["token", "at", "h1", "n", "bits", "settled", "doc_id", "line"])
 
@@ -176,7 +176,7 @@ def _fetch(docs: DataFrame, marks: np.ndarray) -> DataFrame:
         for _, data, at in _batches(batches):
             lines = _lines(data, at)
             one, two = lines.hashes()
-            kept = marks[_bucket(one)]
+            kept = _marked(marks, one)
             kept[kept] = _unseen(seen, one[kept], two[kept])
             n = lines.sizes
             ends = np.concatenate([[0], np.cumsum(n[kept])]).astype(np.int32)
@@ -187,8 +187,8 @@ def _fetch(docs: DataFrame, marks: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "h1 long, h2 long, tokens array<long>")
 
 
-def _bucket(hashes: np.ndarray) -> np.ndarray:
-    return (hashes % np.uint64(MARKS)).astype(np.int64)
+def _marked(marks: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    return marks[(hashes % np.uint64(len(marks))).astype(np.int64)]
 
 
 def _marks(hashes: DataFrame) -> np.ndarray:

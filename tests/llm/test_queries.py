@@ -11,7 +11,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from keystrand.llm import decontaminate, language, pii, queries, urls
+from keystrand.llm import decontaminate, language, lines, pii, queries, urls
 from tests.compare import SF_DIR, of_spark, of_sql
 
 SMALL = "/root/testdata/sf0.001"
@@ -280,6 +280,15 @@ def test_line_dedup(spark):
     assert sum(x[1] for x in told.values()) > 0 and found == told
 
 
+def test_line_dedup_with_few_marks(spark, monkeypatch):
+    """Sets that fall on the bits of settled ones aren't taken for settled."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    whole = set(map(tuple, lines.removed_lines(docs).collect()))
+    monkeypatch.setattr(lines, "MARKS", 1 << 10)
+    assert set(map(tuple, lines.removed_lines(docs).collect())) == whole
+
+
+
 # mixing
 
 
