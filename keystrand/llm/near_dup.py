@@ -18,6 +18,8 @@ BANDS = 40
 ROWS = 5
 BINS = BANDS * ROWS
 THRESHOLD = 75
+#: Rows of one token that a task of the last join holds on its indexed side.
+SALTED = 2_000
 #: Two of four bands shared by two documents are at most this far apart on the circle of bands, so finer buckets join them.
 APART = 13
 
@@ -112,6 +114,34 @@ def _finer_stars(apart: DataFrame, turn: int) -> DataFrame:
     return _ordered("id", "cid", "n", "cn", spokes.select("id", "n", F.col("c.id").alias("cid"), F.col("c.n").alias("cn")))
 
 
+def _prefixes(apart: DataFrame, sets: DataFrame) -> DataFrame:
+    """(token, salts, at, short, id, n, component): the shingles of each set that stand in its prefix and in sets of two
+    components, with their place in the order of how often they are held; those of one component only come first and
+    are left out, as they part no two components. Of two sets alike enough, the one that is not larger has a shingle among its
+    ``short`` ones that the other has in its prefix."""
+    own = apart.select("id", "n", "component").distinct()
+    held = sets.join(own, F.col("doc_id") == F.col("id")).select("id", "n", "component", F.explode("shingles").alias("token"))
+    counts = held.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("count")).filter("lo < hi").select(F.col("token").alias("_token"), "count")
+    common = held.join(counts, F.col("token") == F.col("_token")).groupBy("id", "n", "component").agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("common"))
+    before = F.col("n") - F.size("common")
+    least = lambda up, down: F.floor((F.col("n") * up + (down - 1)) / down)
+    length = F.greatest(F.lit(0), F.col("n") - least(THRESHOLD, 100) + 1 - before).cast("int")
+    rows = common.select("id", "n", "component", before.alias("before"), F.posexplode(F.slice("common", 1, length)).alias("at", "t"))
+    placed = rows.select("id", "n", "component", (F.col("at") + F.col("before")).alias("at"), F.col("t.token").alias("token"), (F.floor(F.col("t.count") / SALTED) + 1).cast("int").alias("salts"))
+    return placed.withColumn("short", F.col("at") <= F.col("n") - least(2 * THRESHOLD, 100 + THRESHOLD))
+
+
+def _left_apart(apart: DataFrame, sets: DataFrame) -> DataFrame:
+    """All pairs of different components that can be alike enough, by prefixes, sizes and places; none is missed."""
+    prefixes = saved(_prefixes(apart, sets), "near-prefixes")
+    short = prefixes.filter("short").select("token", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.col("id").alias("cid"), F.col("n").alias("cn"), F.col("component").alias("cc"), F.col("at").alias("ca"))
+    other = prefixes.select(F.col("token").alias("_token"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("_salt"), "id", "n", "component", "at")
+    sized = (F.col("cn") <= F.col("n")) & (100 * F.col("cn") >= THRESHOLD * F.col("n"))
+    placed = (100 + THRESHOLD) * F.least(F.col("n") - F.col("at"), F.col("cn") - F.col("ca")) >= THRESHOLD * (F.col("n") + F.col("cn"))
+    met = short.join(other, (F.col("token") == F.col("_token")) & (F.col("salt") == F.col("_salt")) & (F.col("component") != F.col("cc")) & sized & placed)
+    return _ordered("id", "cid", "n", "cn", met)
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``; the smallest doc_id of a component is kept.
 
@@ -121,8 +151,10 @@ def classes(docs: DataFrame) -> DataFrame:
     Within a bucket the edges are stars, never all pairs: (1) every member with the member of the least id and with one
     drawn by a hash, (2) in buckets whose members are not yet connected, every member with the one that has most links
     so far, (3) as long as that finds links, in finer buckets of what is still apart, those who share two bands, every
-    member with one more that each round draws anew. Every edge is confirmed on the full sets. Edges grow in proportion
-    to the members of buckets, whatever a bucket's size.
+    member with one more that each round draws anew. What then stands in a bucket with members of two components is
+    (4) joined on prefixes of the full sets, the least held shingles first: every pair of different components that
+    sizes and places allow is tested, so no link between members of a bucket is lost. Every edge is confirmed on the
+    full sets. Edges of (1) to (3) grow in proportion to the members of buckets, whatever a bucket's size.
 
     Repeated rows of one doc_id are one document and stay or go together. A row without doc_id is in no component and
     is kept. Columns other than doc_id and text are not read. An empty table gives an empty result.
@@ -160,6 +192,10 @@ def classes(docs: DataFrame) -> DataFrame:
             break
         turn += 1
         pairs = _finer_stars(_across(members, labels), turn)
+    more = saved(_left_apart(_across(members, labels), sets).join(tested, ["a", "b"], "left_anti"), "near-pairs")
+    fresh = saved(_verified(more, sets), "near-links")
+    if not fresh.isEmpty():
+        labels = components(links.unionByName(fresh))
     dropped(sets)
     reps = folded.select("n", "h1", "h2", "id").join(labels.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left")
     found = reps.select(F.col("n").alias("_n"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.coalesce("component", "id").alias("_component"))
