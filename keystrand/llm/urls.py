@@ -13,7 +13,6 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 ORDER = 4
 SMOOTHING = 4.0
 MIN_COUNT = 3
-MAX_GRAMS = 100_000
 BINS = 200
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -47,17 +46,19 @@ def fit_models(labelled: DataFrame, order: int = ORDER) -> DataFrame:
     """(gram, ratio): the log of P(last character | those before) under the accepted model over that under the rejected.
 
     ``labelled`` has address, good and n (times seen). Counts cover all labelled rows. Each order is smoothed by the
-    one below. Contexts vary in length: a gram is kept if seen ``MIN_COUNT`` times, at most ``MAX_GRAMS`` of the most
-    frequent, which bounds the table whatever the input; a pruned gram is scored by its longest kept ending.
+    one below. Contexts vary in length: a gram is kept if seen ``MIN_COUNT`` times, and one that isn't is scored by its
+    longest kept ending. The table grows with the input; totals of contexts are of all grams, kept or not.
     """
     wide = _grams(labelled, order, ("good", "n"))
     counts = wide.select("good", "n", F.explode(F.array(*[f"g{k}" for k in range(1, order + 1)])).alias("gram")).filter("gram is not null")
     both = counts.groupBy("gram").agg(F.sum(F.when(F.col("good"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("good"), 0).otherwise(F.col("n"))).alias("r"))
-    kept = saved(both.filter(F.col("a") + F.col("r") >= MIN_COUNT).orderBy((F.col("a") + F.col("r")).desc(), "gram").limit(MAX_GRAMS), "url-grams")
+    every = saved(both, "url-grams")
+    kept = every.filter(F.col("a") + F.col("r") >= MIN_COUNT)
     model = None
     for k in range(1, order + 1):
         own = kept.filter(F.length("gram") == k).withColumns({"context": F.substring("gram", 1, k - 1), "ending": F.expr("substring(gram, 2)")})
-        totals = own.groupBy("context").agg(F.sum("a").alias("ta"), F.sum("r").alias("tr")).withColumnRenamed("context", "c")
+        spread = every.filter(F.length("gram") == k).withColumn("context", F.substring("gram", 1, k - 1))
+        totals = spread.groupBy("context").agg(F.sum("a").alias("ta"), F.sum("r").alias("tr")).withColumnRenamed("context", "c")
         joined = own.join(totals, F.col("context") == F.col("c"))
         if k == 1:
             below = {"pa": F.lit(1 / 256), "pr": F.lit(1 / 256)}
@@ -72,13 +73,17 @@ def fit_models(labelled: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 def score(addresses: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
-    """(address, score): the mean over an address's characters of the ratio of the longest known gram ending there."""
-    rows = _grams(addresses, order, ("address",))
-    for k in range(1, order + 1):
-        table = F.broadcast(model.filter(F.length("gram") == k).select(F.col("gram").alias(f"m{k}"), F.col("ratio").alias(f"r{k}")))
-        rows = rows.join(table, F.col(f"g{k}") == F.col(f"m{k}"), "left")
-    best = F.coalesce(*[F.col(f"r{k}") for k in range(order, 0, -1)], F.lit(0.0))
-    return rows.groupBy("address").agg(F.round(F.avg(best), 9).alias("score"))
+    """(address, score): the mean over an address's characters of the ratio of the longest known gram ending there.
+
+    Each distinct longest gram meets the model once, and the distinct grams of each address then meet those. Neither
+    join asks for a broadcast: Spark makes one only of what it knows to be small, and the scores are the same."""
+    longest = F.coalesce(*[F.col(f"g{k}") for k in range(order, 0, -1)])
+    rows = _grams(addresses, order, ("address",)).groupBy("address", longest.alias("longest")).agg(F.count("*").alias("times"))
+    endings = rows.select("longest").distinct().select("longest", F.explode(F.transform(F.sequence(F.lit(1), F.length("longest")), lambda k: F.expr("longest").substr(F.length("longest") - k + 1, k))).alias("ending"))
+    known = endings.join(model, F.col("ending") == F.col("gram")).groupBy("longest").agg(F.max_by("ratio", F.length("gram")).alias("ratio")).withColumnRenamed("longest", "_longest")
+    met = rows.join(known, F.col("longest") == F.col("_longest"), "left")
+    mean = F.sum(F.coalesce("ratio", F.lit(0.0)) * F.col("times")) / F.sum("times")
+    return met.groupBy("address").agg(F.round(mean, 9).alias("score"))
 
 
 def calibrated(labelled_scores: DataFrame, bins: int = BINS) -> float:
