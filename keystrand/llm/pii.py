@@ -26,7 +26,10 @@ NUMBERS = re.compile(r"[0-9]++(?:(?:\.[0-9]++){3})?")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])*+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]")
-MARK = re.compile(r"[0-9@]")
+#: What every value holds, also those written with a bracketed at or dot.
+BRACKETED = r"[\[(] ?(?:at|dot|\.) ?[\])]"
+MARK = re.compile(r"[0-9@]|" + BRACKETED)
+BRACKETED_BYTES = re.compile(BRACKETED.encode())
 ANCHOR = np.zeros(256, dtype=bool)
 ANCHOR[[*range(0x30, 0x3A), 0x40]] = True
 
@@ -176,8 +179,8 @@ def find(docs: DataFrame, tagger: Tagger) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for every row of ``docs``.
 
     The counts and the hash are of the base spans; ``spans`` lists base and added ones as kind:start:end in code
-    points. Null and empty texts have none. Only texts with a digit or an @ are read further, since every kind holds
-    one. Repeated rows come out alike; other columns are not read.
+    points. Null and empty texts have none. Only texts with a digit, an @ or a bracketed at or dot are read further,
+    since every value holds one. Repeated rows come out alike; other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tagger)
 
@@ -188,7 +191,10 @@ def find(docs: DataFrame, tagger: Tagger) -> DataFrame:
             for low, high in chunks(at):
                 n = high - low
                 counts, digest, listed = np.zeros((len(KINDS), n), np.int64), [none] * n, [""] * n
-                marked = np.concatenate([[0], np.cumsum(ANCHOR[data[at[low] : at[high]]])])
+                part = data[at[low] : at[high]]
+                anchors = ANCHOR[part]
+                anchors[[m.start() for m in BRACKETED_BYTES.finditer(part.tobytes())]] = True
+                marked = np.concatenate([[0], np.cumsum(anchors)])
                 edges = at[low : high + 1] - at[low]
                 for i in np.flatnonzero(marked[edges[1:]] > marked[edges[:-1]]).tolist():
                     text = data[at[low + i] : at[low + i + 1]].tobytes().decode("utf-8", "replace")

@@ -143,16 +143,26 @@ class Tagger:
     def tags(self, codes: np.ndarray, marks: np.ndarray, batch: int = 256) -> np.ndarray:
         """Tags of a whole text: overlapping windows are decoded where one holds a mark, and of each the middle counts,
         so that every character is taken from the window in which it stands farthest from an edge. ``marks`` are the
-        sorted places without which no span can be."""
+        sorted places without which no span can be. Where a span reaches the edge of what is decoded, the next window
+        is decoded too, so a span with a mark comes out whole."""
         margin = (WINDOW - STRIDE) // 2
         out = np.zeros(len(codes), np.int64)
         windows = np.unique(np.concatenate([(marks + margin) // STRIDE + d for d in (-1, 0, 1)]))
-        windows = windows[(windows >= 0) & (windows * STRIDE - margin < len(codes) + margin)]
+        last = (len(codes) + 2 * margin - 1) // STRIDE
+        windows = windows[(windows >= 0) & (windows <= last)]
         padded = np.concatenate([np.zeros(WINDOW, np.int64), codes, np.zeros(2 * WINDOW, np.int64)])
-        for part in np.array_split(windows, max(1, -(-len(windows) // batch))):
-            begin = part * STRIDE - STRIDE // 2 - margin
-            found = self.decode(padded[begin[:, None] + WINDOW + np.arange(WINDOW)])
-            place = (begin + margin)[:, None] + np.arange(STRIDE)
-            inside = (place >= 0) & (place < len(codes))
-            out[place[inside]] = found[:, margin : margin + STRIDE][inside]
+        done = np.zeros(last + 2, dtype=bool)
+        while len(windows):
+            done[windows] = True
+            beyond = []
+            for part in np.array_split(windows, max(1, -(-len(windows) // batch))):
+                begin = part * STRIDE - STRIDE // 2 - margin
+                found = self.decode(padded[begin[:, None] + WINDOW + np.arange(WINDOW)])[:, margin : margin + STRIDE]
+                place = (begin + margin)[:, None] + np.arange(STRIDE)
+                inside = (place >= 0) & (place < len(codes))
+                out[place[inside]] = found[inside]
+                beyond += [part[found[:, 0] > 0] - 1, part[found[:, -1] > 0] + 1]
+            windows = np.unique(np.concatenate(beyond))
+            windows = windows[(windows >= 0) & (windows <= last)]
+            windows = windows[~done[windows]]
         return out
