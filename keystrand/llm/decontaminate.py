@@ -47,12 +47,15 @@ class Group:
 class Index:
     """What tasks need of at most ``ITEMS_AT_ONCE`` items: fingerprints, blocks and shingles with weights.
 
-    A shingle weighs log(1 + items / items that hold it), so what many items share counts less. Two fingerprints within
+    A shingle weighs log(1 + items / items that hold it), so what many items share counts less. Both counts are of the
+    whole benchmark: ``total`` items, and ``shared``, the hashes in order of shingles that two or more of them hold, with
+    their counts. A shingle of one item weighs as much as an unknown one, so no more is needed. Without them the
+    given items are the whole benchmark. Two fingerprints within
     ``RADIUS`` differ by at most RADIUS // BLOCKS bits in one of ``BLOCKS`` bytes: every such byte value is listed, so
     no fingerprint within the radius is missed.
     """
 
-    def __init__(self, ids: list[int], texts: list[str]):
+    def __init__(self, ids: list[int], texts: list[str], total: int | None = None, shared: tuple[np.ndarray, np.ndarray] | None = None):
         column = pa.array(texts, pa.string())
         data, at = text_buffers(column)
         words = words_of(data, at)
@@ -62,9 +65,12 @@ class Index:
         for s in held:
             for h in s:
                 spread[h] = spread.get(h, 0) + 1
-        self.top = float(np.log(1 + len(ids)))
+        if shared is None:
+            often = sorted(h for h, n in spread.items() if n > 1)
+            total, shared = len(ids), (np.array(often, dtype=np.uint64), np.array([spread[h] for h in often], dtype=np.int64))
+        self.top = float(np.log(1 + total))
         self.keys = np.array(sorted(spread), dtype=np.uint64)
-        self.weights = np.array([np.log(1 + len(ids) / spread[h]) for h in sorted(spread)])
+        self.shared, self.weights = shared[0], np.log(1 + total / shared[1])
         self.filter = np.zeros(1 << 20, dtype=bool)
         self.filter[(self.keys >> np.uint64(44)).astype(np.int64)] = True
         self.short: dict[int, list[tuple[int, int]]] = {}
@@ -77,8 +83,10 @@ class Index:
         self.groups = [self._group(size, rows) for size, rows in sorted(by_size.items())]
 
     def weigh(self, hashes: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        return np.where(self.keys[at] == hashes, self.weights[at], self.top)
+        if not len(self.shared):
+            return np.full(len(hashes), self.top)
+        at = np.minimum(np.searchsorted(self.shared, hashes), len(self.shared) - 1)
+        return np.where(self.shared[at] == hashes, self.weights[at], self.top)
 
     def known(self, hashes: np.ndarray) -> np.ndarray:
         """Places of hashes that some item holds."""
@@ -184,22 +192,39 @@ def _search(docs: DataFrame, index: Index) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, similarity double, first_word long")
 
 
+def shared_shingles(items: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes in order of the shingles that two or more items hold, and how many do, counted over all items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = text_buffers(batch.column("text"))
+            for low, high in chunks(at):
+                sets = list(shingle_sets(words_of(data, at[low : high + 1])))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["shingle"])
+
+    counts = items.select("text").mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1").toArrow()
+    hashes, n = counts.column("shingle").to_numpy().view(np.uint64), counts.column("n").to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], n[order]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, similarity, first_word): documents with a window of an item's size whose weighted shingle
     similarity to the item is 0.75 or more, and the best such window.
 
     Words are lower-cased (A-Z) and compared over whole texts. Items of fewer than five words are found word for word;
     items without words and null texts match nothing. Items go to tasks in blocks of at most ``ITEMS_AT_ONCE``, one
-    pass over the documents for each, so what is broadcast stays bounded. Repeated rows are reported as often as they
+    pass over the documents for each; shingles are weighed by counts over all items, so results don't depend on the
+    blocks. Beside a block only the shingles that items share are broadcast with their counts. Repeated rows are reported as often as they
     stand; repeated item ids are one item each time. An empty table on either side gives an empty result.
     """
     items = benchmark.select("item_id", "text").filter("item_id is not null and text is not null")
     total = items.count()
     blocks = max(1, -(-total // ITEMS_AT_ONCE))
-    out = None
+    shared, out = shared_shingles(items), None
     for block in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        found = _search(docs, Index([r.item_id for r in rows], [r.text for r in rows]))
+        found = _search(docs, Index([r.item_id for r in rows], [r.text for r in rows], total, shared))
         out = found if out is None else out.unionByName(found)
     return out
 
