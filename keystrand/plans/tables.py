@@ -8,13 +8,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
+#: Where the tables stand that this process has written and not deleted.
+_WRITTEN: dict[str, None] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where it is unset, as in tests."""
+    """The session's ``spark.checkpoint.dir``; a temporary folder only where it is unset and Spark is local."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base
+    if not spark.conf.get("spark.master", "").startswith("local[") and spark.conf.get("spark.master", "") != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _LOCAL:
         _LOCAL.append("file://" + tempfile.mkdtemp(prefix="keystrand-"))
     return _LOCAL[0]
@@ -25,16 +29,28 @@ def saved(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[path] = None
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _WRITTEN.pop(path, None)
 
 
 def dropped(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`saved` once nothing reads it any more."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+    _delete(df.sparkSession, df.saved_at)
+
+
+def cleared(spark: SparkSession) -> None:
+    """Delete all tables that this process has written by :func:`saved`. Results that weren't read yet can't be read
+    after it: call it between jobs, once their results are stored."""
+    for path in list(_WRITTEN):
+        _delete(spark, path)
 
 
 def free(df: DataFrame, name: str) -> str:
