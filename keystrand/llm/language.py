@@ -8,12 +8,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from keystrand.llm.store import free
-from keystrand.llm.words import LOWER, chunks, text_buffers
+from keystrand.llm.store import bounded_batches, free, saved
+from keystrand.llm.words import LOWER, text_buffers
 
 #: The family of each language by its ISO 639-1 code; a language not listed is a family of its own.
 FAMILIES = {
@@ -26,6 +26,8 @@ DIMS = 1 << 12
 PER_LANGUAGE = 300
 EPOCHS = 12
 UNDECIDED = "und"
+#: Texts whose features, of fixed size each, stand in memory at once.
+ROWS_AT_ONCE = 256
 
 
 def _letters() -> np.ndarray:
@@ -123,46 +125,73 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
+def _drawn(docs: DataFrame, per_language: int) -> DataFrame:
+    """(lang, hash, text): the ``per_language`` rows of least hash of each language among those that are not held out
+    and have doc_id, lang and a letter. Thresholds from the languages' counts leave about twice as many rows, which
+    fold where they are alike; only these are put in order."""
+    hashed = docs.select("lang", F.xxhash64("doc_id", "text").alias("hash"), "text").filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & F.col("doc_id").isNotNull())
+    counts = hashed.groupBy(F.col("lang").alias("_lang")).agg(F.count("*").alias("n"))
+    share = F.least(F.lit(1.0), F.lit(2.0 * per_language) / F.col("n"))
+    bound = F.when(F.col("n") <= 2 * per_language, F.lit((1 << 63) - 1)).otherwise((share * F.lit(2.0**64) - F.lit(2.0**63)).cast("long"))
+    bounds = saved(counts.select("_lang", bound.alias("bound")), "language-bounds")
+    near = hashed.join(bounds, F.col("lang") == F.col("_lang")).filter("hash <= bound").groupBy("lang", "hash").agg(F.first("text").alias("text"))
+    place = F.row_number().over(W.partitionBy("lang").orderBy("hash"))
+    return near.withColumn("place", place).filter(F.col("place") <= per_language).select("lang", "hash", "text")
+
+
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
-    """Fit on at most ``per_language`` documents of each language, drawn by a hash of doc_id among those that are not
-    held out and have lang and text. That bound is all that reaches the driver. None if there is none."""
-    known = docs.select("doc_id", "lang", "text").filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & F.col("doc_id").isNotNull())
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_language).select(F.col("doc_id").alias("_id")).distinct()
-    rows = known.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"), "left_semi").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
+    """Fit on at most ``per_language`` rows of each language, drawn by a hash of doc_id and text. What reaches the driver
+    is one vector of fixed size for each, whatever the length of the texts. None if there is none."""
+    bounded_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = text_buffers(batch.column("text"))
+            for low in range(0, len(at) - 1, ROWS_AT_ONCE):
+                high = min(len(at) - 1, low + ROWS_AT_ONCE)
+                x = features(data, at[low : high + 1]).astype(np.float16)
+                yield pa.RecordBatch.from_arrays([batch.column("lang").slice(low, high - low), batch.column("hash").slice(low, high - low), pa.array([v.tobytes() for v in x], pa.binary())], ["lang", "hash", "x"])
+
+    rows = _drawn(docs, per_language).mapInArrow(run, "lang string, hash long, x binary").toArrow().sort_by([("lang", "ascending"), ("hash", "ascending")])
     if not len(rows):
         return None
-    data, at = text_buffers(rows.column("text").combine_chunks())
-    return fit(features(data, at), rows.column("lang").to_pylist())
+    x = np.stack([np.frombuffer(v.as_buffer(), dtype=np.float16) for v in rows.column("x").combine_chunks()]).astype(np.float32)
+    return fit(x, rows.column("lang").to_pylist())
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The columns of ``docs`` with lang_pred and score, from the text alone.
+def predicted(text: Column, model: Model | None) -> Column:
+    """A struct of lang_pred and score for each text. Only texts go to Python, once, and only the answers come back.
 
     Null text, text without letters or no model: ``und`` and 0. The score is the family's least margin times the
-    language's, each squashed to 0 to 1. Repeated rows are predicted alike.
+    language's, each squashed to 0 to 1. Votes that tie go by summed margins, then to the first name in order. Equal
+    texts are predicted alike; a long text is read whole.
     """
+    shared = SparkSession.active().sparkContext.broadcast(model)
+
+    @F.arrow_udf("lang_pred string, score double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = shared.value
+        for texts in batches:
+            data, at = text_buffers(texts)
+            langs, scores = [], [np.zeros(0)]
+            for low in range(0, len(at) - 1, ROWS_AT_ONCE):
+                found, score = model.predict(features(data, at[low : min(len(at) - 1, low + ROWS_AT_ONCE) + 1]))
+                langs += found.tolist()
+                scores.append(score)
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate(scores), pa.float64())], ["lang_pred", "score"])
+
+    unknown = F.struct(F.lit(UNDECIDED).alias("lang_pred"), F.lit(0.0).alias("score"))
+    if model is None:
+        return unknown
+    return F.when(text.rlike(r"\p{L}"), run.asNondeterministic()(text)).otherwise(unknown)
 
-    text, letters = free(docs, "lang_text"), free(docs, "lettered")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, at = text_buffers(batch.column(text))
-            lettered = np.array(batch.column(letters).to_pylist(), dtype=bool)
-            keep = [i for i, n in enumerate(batch.schema.names) if n not in (text, letters)]
-            for low, high in chunks(at, 1 << 21):
-                for a in range(low, high, 512):
-                    z = min(high, a + 512)
-                    langs, score = model.predict(features(data, at[a : z + 1])) if model else (np.full(z - a, UNDECIDED, dtype=object), np.zeros(z - a))
-                    known = lettered[a:z]
-                    cols = [batch.column(i).slice(a, z - a) for i in keep]
-                    yield pa.RecordBatch.from_arrays([*cols, pa.array(np.where(known, langs, UNDECIDED), pa.string()), pa.array(np.where(known, score, 0.0), pa.float64())], [*(batch.schema.names[i] for i in keep), "lang_pred", "score"])
-
-    rows = docs.withColumns({text: F.col("text"), letters: F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))})
-    schema = docs.schema.add("lang_pred", "string").add("score", "double") if not {"lang_pred", "score"} & set(docs.columns) else None
-    if schema is None:
-        raise ValueError("lang_pred and score are names of the result")
-    return rows.mapInArrow(run, schema)
+def predict(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The columns of ``docs`` with lang_pred and score (each with underscores before it if ``docs`` has the name)."""
+    bounded_batches(docs.sparkSession)
+    lang, score, both = free(docs, "lang_pred"), free(docs, "score"), free(docs, "predicted")
+    rows = docs.withColumn(both, predicted(F.col("text"), model))
+    return rows.select(*docs.columns, F.col(both)["lang_pred"].alias(lang), F.col(both)["score"].alias(score))
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -174,8 +203,7 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def with_known_language(docs: DataFrame, least: float = 0.05) -> DataFrame:
     """``docs`` without rows whose language can't be told: ``und``, or a score under ``least``; columns as they came."""
-    model = train(docs)
-    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
-    rows = predict(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.col("text")), model)
-    kept = rows.filter((F.col("lang_pred") != UNDECIDED) & (F.col("score") >= least))
-    return kept.select(*[F.col(n).alias(c) for c, n in names.items()])
+    both = free(docs, "predicted")
+    bounded_batches(docs.sparkSession)
+    rows = docs.withColumn(both, predicted(F.col("text"), train(docs)))
+    return rows.filter((F.col(both)["lang_pred"] != UNDECIDED) & (F.col(both)["score"] >= least)).select(*docs.columns)
