@@ -10,18 +10,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystrand.llm.graph import components
-from keystrand.llm.store import dropped, free, saved
+from keystrand.llm.graph import components, extended
+from keystrand.llm.store import bounded_batches, dropped, free, saved
 from keystrand.llm.words import chunks, mix64, shingle_sets, text_buffers, words_of
 
-BANDS = 40
-ROWS = 5
+BANDS = 50
+ROWS = 4
 BINS = BANDS * ROWS
 THRESHOLD = 75
 #: Rows of one token that a task of the last join holds on its indexed side.
 SALTED = 2_000
-#: Two of four bands shared by two documents are at most this far apart on the circle of bands, so finer buckets join them.
-APART = 13
 
 
 @lru_cache(maxsize=1)
@@ -101,19 +99,6 @@ def _across(members: DataFrame, labels: DataFrame) -> DataFrame:
     return placed.join(split, F.col("key") == F.col("_key"), "left_semi")
 
 
-def _finer_stars(apart: DataFrame, turn: int) -> DataFrame:
-    """Stars in finer buckets: those who share two bands. The centre is the member that comes first in an order of ids
-    that changes with ``turn``; it is the same in all buckets, so a document meets few different centres."""
-    own = apart.groupBy("id", "n", "component").agg(F.sort_array(F.collect_list(F.struct("band", "key"))).alias("own"))
-    near = lambda x, y: (y.band > x.band) & (F.least(y.band - x.band, F.lit(BANDS) - y.band + x.band) <= APART)
-    both = F.flatten(F.transform("own", lambda x: F.transform(F.filter("own", lambda y: near(x, y)), lambda y: F.xxhash64(x.key, y.key))))
-    finer = own.select("id", "n", "component", F.explode(both).alias("key"))
-    centre = F.min_by(F.struct("id", "n", "component"), F.xxhash64("id", F.lit(turn)))
-    stars = finer.groupBy("key").agg(centre.alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select(F.col("key").alias("_key"), "c")
-    spokes = finer.join(stars, F.col("key") == F.col("_key")).filter(F.col("component") != F.col("c.component"))
-    return _ordered("id", "cid", "n", "cn", spokes.select("id", "n", F.col("c.id").alias("cid"), F.col("c.n").alias("cn")))
-
-
 def _prefixes(apart: DataFrame, sets: DataFrame) -> DataFrame:
     """(token, salts, at, short, id, n, component): the shingles of each set that stand in its prefix and in sets of two
     components, with their place in the order of how often they are held; those of one component only come first and
@@ -147,18 +132,19 @@ def classes(docs: DataFrame) -> DataFrame:
 
     Sets are the distinct five-word shingles of whole texts (fewer words: all of them as one; none: linked to nothing).
     Equal sets fold into one representative first, so groups of exact copies cost one row. Representatives meet in
-    buckets of bands of their signatures, and two that reach the similarity of 0.75 share one but for 2 in 100,000.
-    Within a bucket the edges are stars, never all pairs: (1) every member with the member of the least id and with one
-    drawn by a hash, (2) in buckets whose members are not yet connected, every member with the one that has most links
-    so far, (3) as long as that finds links, in finer buckets of what is still apart, those who share two bands, every
-    member with one more that each round draws anew. What then stands in a bucket with members of two components is
-    (4) joined on prefixes of the full sets, the least held shingles first: every pair of different components that
-    sizes and places allow is tested, so no link between members of a bucket is lost. Every edge is confirmed on the
-    full sets. Edges of (1) to (3) grow in proportion to the members of buckets, whatever a bucket's size.
+    buckets of bands of their signatures. Within a bucket the edges are stars, never all pairs: (1) every member with the
+    member of the least id and with one drawn by a hash, (2) in buckets whose members are not yet connected, every
+    member with the one that has most links so far. What then stands in a bucket with members of two components is
+    (3) joined on prefixes of the full sets, the least held shingles first: every pair of different components that
+    sizes and places allow is tested, so no link between members of a bucket is lost, and the search ends there. Every
+    edge is confirmed on the full sets. Edges of (1) and (2) grow in proportion to the members of buckets, whatever a
+    bucket's size. Two sets at the threshold share no bucket in less than one of 20,000 pairs, as simulated for unions
+    of 4 to 800 shingles (``tests/llm/test_near_dup_whole.py``).
 
     Repeated rows of one doc_id are one document and stay or go together. A row without doc_id is in no component and
     is kept. Columns other than doc_id and text are not read. An empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     schema = "doc_id long, n long, h1 long, h2 long, bands array<long>"
     signed = saved(docs.select("doc_id", "text").mapInArrow(_sign, schema), "near-signed")
     folded = saved(signed.filter("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "near-folded")
@@ -180,22 +166,14 @@ def classes(docs: DataFrame) -> DataFrame:
     weighed = apart.join(degrees, F.col("id") == F.col("_d"), "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     hubs = weighed.groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("turned"), "id", "n", "component")).alias("hub")).select(F.col("key").alias("_key"), F.col("hub.id").alias("cid"), F.col("hub.n").alias("cn"), F.col("hub.component").alias("cc"))
     pairs = _ordered("id", "cid", "n", "cn", apart.join(hubs, F.col("key") == F.col("_key")).filter("component <> cc"))
-    turn = 0
-    while True:
-        more = saved(pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
-        fresh = saved(_verified(more, sets), "near-links")
-        found = not fresh.isEmpty()
-        if found:
-            links, tested = links.unionByName(fresh), tested.unionByName(more)
-            labels = components(links)
-        if turn and not found:
-            break
-        turn += 1
-        pairs = _finer_stars(_across(members, labels), turn)
+    more = saved(pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
+    fresh = saved(_verified(more, sets), "near-links")
+    if not fresh.isEmpty():
+        labels, tested = extended(labels, fresh), tested.unionByName(more)
     more = saved(_left_apart(_across(members, labels), sets).join(tested, ["a", "b"], "left_anti"), "near-pairs")
     fresh = saved(_verified(more, sets), "near-links")
     if not fresh.isEmpty():
-        labels = components(links.unionByName(fresh))
+        labels = extended(labels, fresh)
     dropped(sets)
     reps = folded.select("n", "h1", "h2", "id").join(labels.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left")
     found = reps.select(F.col("n").alias("_n"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.coalesce("component", "id").alias("_component"))
@@ -206,7 +184,21 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents that :func:`classes` doesn't keep; columns as they came."""
-    name = free(docs, "gone")
-    gone = saved(classes(docs).filter("not kept").select(F.col("doc_id").alias(name)).distinct(), "near-gone")
-    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti").select(*docs.columns)
+    """``docs`` with one row of each group of near copies, that of the smallest doc_id; columns as they came.
+
+    A row without doc_id is known by its text instead and comes after all that have one. Of rows alike in doc_id and
+    text one stays. Rows of one doc_id with different texts are one document. Rows without words all stay, but for
+    repeated ones.
+    """
+    key, same, gone, copies = (free(docs, n) for n in ("near_key", "near_text", "near_gone", "near_copies"))
+    by_text = F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1)).bitwiseOR(F.lit(1 << 62))
+    keyed = docs.withColumns({key: F.coalesce(F.col("doc_id").cast("long"), by_text), same: F.xxhash64("text")})
+    found = classes(keyed.select(F.col(key).alias("doc_id"), "text"))
+    left = saved(found.filter("not kept").select(F.col("doc_id").alias(gone)).distinct(), "near-gone")
+    kept = keyed.join(left, F.col(key) == F.col(gone), "left_anti")
+    often = saved(keyed.groupBy(F.col(key).alias(gone), F.col(same).alias(copies)).agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "near-repeated")
+    if often.isEmpty():
+        return kept.select(*docs.columns)
+    repeated = (F.col(key) == F.col(gone)) & (F.col(same) == F.col(copies))
+    once = kept.join(often, repeated, "left_semi").dropDuplicates([key, same])
+    return kept.join(often, repeated, "left_anti").unionByName(once).select(*docs.columns)

@@ -23,3 +23,40 @@ def test_links_in_hot_buckets_are_whole(spark, monkeypatch):
     texts = {i: put(f"d{i}", rng.randrange(WORDS - 50), 50) for i in range(HEAVY)} | {x: put("x", 20, 9), y: put("y", 120, 9)}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in near_dup.classes(docs).collect()} == {i: i for i in texts} | {y: x}
+
+
+def test_borderline_groups_lose_no_link(spark):
+    """Groups of texts around the threshold, and trees of edits, against all pairs."""
+    from tests.llm.test_queries import linked_components
+
+    rng, texts = random.Random(3), {}
+    for g in range(6):
+        base = [f"g{g}w{i}" for i in range(60)]
+        for _ in range(50):
+            words = list(base)
+            for _ in range(rng.choice([0, 1, 2])):
+                words[rng.randrange(60)] = f"e{rng.random()}"
+            texts[len(texts)] = " ".join(words)
+    tree = [[f"r{i}" for i in range(90)]]
+    for _ in range(150):
+        words = list(rng.choice(tree))
+        words[rng.randrange(90)] = f"e{rng.random()}"
+        tree.append(words)
+    for words in tree:
+        texts[len(texts)] = " ".join(words)
+    told = linked_components(texts)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.classes(docs).collect()} == told
+
+
+def test_pairs_at_the_threshold_share_a_band():
+    import numpy as np
+
+    rng, lost = np.random.default_rng(2), 0
+    for union, shared in ((4, 3), (20, 15), (80, 60), (200, 150)):
+        for _ in range(500):
+            every = rng.integers(0, 2**64, union, dtype=np.uint64)
+            own = shared + rng.integers(0, union - shared + 1)
+            a, b = np.sort(every[:own]), np.sort(np.concatenate([every[:shared], every[own:]]))
+            lost += not (near_dup.band_keys(near_dup.signature(a)) == near_dup.band_keys(near_dup.signature(b))).any()
+    assert lost == 0
