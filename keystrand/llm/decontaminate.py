@@ -10,13 +10,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystrand.llm.store import free, saved
+from keystrand.llm.store import bounded_batches, free, saved
 from keystrand.llm.words import PLACES, SHINGLE, Words, chunks, mix64, shingle_sets, text_buffers, words_of
 
 THRESHOLD = 0.75
 RADIUS = 23
 BLOCKS = 8
 ITEMS_AT_ONCE = 20_000
+#: Pairs of a window and an item, and words between the first and last window, that stand in memory at once.
+PAIRS_AT_ONCE = 1 << 21
+WORDS_AT_ONCE = 1 << 12
 BITS = np.arange(64, dtype=np.uint64)
 NEAR = [np.array([v for v in range(256) if bin(v).count("1") <= d], dtype=np.uint8) for d in range(9)]
 POPCOUNT = np.array([bin(v).count("1") for v in range(256)], dtype=np.uint8)
@@ -50,9 +53,8 @@ class Index:
     A shingle weighs log(1 + items / items that hold it), so what many items share counts less. Both counts are of the
     whole benchmark: ``total`` items, and ``shared``, the hashes in order of shingles that two or more of them hold, with
     their counts. A shingle of one item weighs as much as an unknown one, so no more is needed. Without them the
-    given items are the whole benchmark. Two fingerprints within
-    ``RADIUS`` differ by at most RADIUS // BLOCKS bits in one of ``BLOCKS`` bytes: every such byte value is listed, so
-    no fingerprint within the radius is missed.
+    given items are the whole benchmark. Two fingerprints within ``RADIUS`` differ by at most RADIUS // BLOCKS bits in
+    one of ``BLOCKS`` bytes: every such byte value is listed, so no fingerprint within the radius is missed.
     """
 
     def __init__(self, ids: list[int], texts: list[str], total: int | None = None, shared: tuple[np.ndarray, np.ndarray] | None = None):
@@ -112,24 +114,26 @@ class Index:
             if left.get(h, 0):
                 left[h] -= 1
                 shared += w
-        return shared / max(1e-12, weights.sum() + group.totals[k] - shared)
+        return min(1.0, float(shared / max(1e-12, weights.sum() + group.totals[k] - shared)))
 
     def find(self, shingles: np.ndarray, hits: np.ndarray) -> dict[int, tuple[float, int]]:
-        """item -> (best similarity, its window's first word) over the item-sized windows that hold a known shingle;
-        any other window shares nothing with an item. A text shorter than an item is one window."""
+        """item -> (best similarity, the first word of the first window that has it) over the item-sized windows. A text
+        shorter than an item is one window. ``hits`` are the places of shingles that some item holds: what a window and
+        an item share can't weigh more than the window's hits, so a window whose hits weigh less than 0.75 of every
+        item of its size is passed over, and no other."""
         found: dict[int, tuple[float, int]] = {}
         weights = self.weigh(shingles)
+        held = np.zeros(len(shingles) + 1)
+        held[hits + 1] = weights[hits]
+        held = np.cumsum(held)
         for group in self.groups:
             size = min(group.size, len(shingles))
-            if size < THRESHOLD * group.size * 0.5:
-                continue
-            marks = np.zeros(len(shingles) + 1, dtype=np.int64)
-            np.add.at(marks, np.maximum(hits - size + 1, 0), 1)
-            np.add.at(marks, hits + 1, -1)
-            starts = np.flatnonzero(np.cumsum(marks)[: len(shingles) - size + 1] > 0)
-            for part in np.array_split(starts, max(1, len(starts) // 4096)):
-                if len(part):
-                    self._windows(shingles, weights, group, size, part, found)
+            starts = np.flatnonzero(held[size:] - held[: len(held) - size] >= THRESHOLD * group.totals.min() - 1e-6)
+            most = max(1, min(WORDS_AT_ONCE, PAIRS_AT_ONCE // len(group.ids)))
+            while len(starts):
+                n = min(most, int(np.searchsorted(starts, starts[0] + WORDS_AT_ONCE)))
+                self._windows(shingles, weights, group, size, starts[:n], found)
+                starts = starts[n:]
         return found
 
     def _windows(self, shingles, weights, group, size, starts, found) -> None:
@@ -164,7 +168,9 @@ class Index:
 
 
 def _search(docs: DataFrame, index: Index) -> DataFrame:
+    """The columns of ``docs`` but for text, then item_id, similarity and first_word, a row for each find."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
+    keys = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
@@ -186,10 +192,13 @@ def _search(docs: DataFrame, index: Index) -> DataFrame:
                     if index.short:
                         index.find_short(words, a, z, found)
                     rows += [(low + i, item, share, start) for item, (share, start) in sorted(found.items())]
-                at_row, item, share, start = (np.array([r[k] for r in rows], dtype=t) for k, t in enumerate((np.int64, np.int64, np.float64, np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at_row)), pa.array(item), pa.array(share), pa.array(start)], ["doc_id", "item_id", "similarity", "first_word"])
+                if rows:
+                    at_row, item, share, start = (np.array([r[k] for r in rows], dtype=t) for k, t in enumerate((np.int64, np.int64, np.float64, np.int64)))
+                    own = [batch.column(c).take(pa.array(at_row)) for c in keys]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(item), pa.array(share), pa.array(start)], [*keys, "item_id", "similarity", "first_word"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, similarity double, first_word long")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
+    return docs.mapInArrow(run, schema + ", item_id long, similarity double, first_word long")
 
 
 def shared_shingles(items: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -199,7 +208,7 @@ def shared_shingles(items: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         for batch in batches:
             data, at = text_buffers(batch.column("text"))
             for low, high in chunks(at):
-                sets = list(shingle_sets(words_of(data, at[low : high + 1])))
+                sets = [*shingle_sets(words_of(data, at[low : high + 1])), np.zeros(0, np.uint64)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["shingle"])
 
     counts = items.select("text").mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1").toArrow()
@@ -208,16 +217,8 @@ def shared_shingles(items: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return hashes[order], n[order]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, similarity, first_word): documents with a window of an item's size whose weighted shingle
-    similarity to the item is 0.75 or more, and the best such window.
-
-    Words are lower-cased (A-Z) and compared over whole texts. Items of fewer than five words are found word for word;
-    items without words and null texts match nothing. Items go to tasks in blocks of at most ``ITEMS_AT_ONCE``, one
-    pass over the documents for each; shingles are weighed by counts over all items, so results don't depend on the
-    blocks. Beside a block only the shingles that items share are broadcast with their counts. Repeated rows are reported as often as they
-    stand; repeated item ids are one item each time. An empty table on either side gives an empty result.
-    """
+def _finds(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    bounded_batches(docs.sparkSession)
     items = benchmark.select("item_id", "text").filter("item_id is not null and text is not null")
     total = items.count()
     blocks = max(1, -(-total // ITEMS_AT_ONCE))
@@ -229,8 +230,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out
 
 
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, similarity, first_word): documents with a window of an item's size whose weighted shingle
+    similarity to the item is 0.75 or more, and the best such window, the first of equals.
+
+    Words are lower-cased (A-Z) and compared over whole texts. Items of fewer than five words are found word for word;
+    items without words and null texts match nothing. Items go to tasks in blocks of about ``ITEMS_AT_ONCE``, one
+    pass over the documents for each; shingles are weighed by counts over all items, so results don't depend on the
+    blocks. Beside a block only the shingles that items share are broadcast with their counts. Repeated rows are
+    reported as often as they stand; repeated item ids are one item each time. A long text is read whole, and what a
+    task holds for its windows is bounded. An empty table on either side gives an empty result; other columns are not
+    read.
+    """
+    return _finds(docs.select("doc_id", "text"), benchmark)
+
+
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without contaminated documents; columns as they came. Rows without doc_id stay."""
-    name = free(docs, "gone")
-    gone = saved(contaminated(docs, benchmark).select(F.col("doc_id").alias(name)).distinct(), "leaks")
-    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti").select(*docs.columns)
+    """``docs`` without contaminated rows; columns as they came. Rows are told by 128 bits of their text, so those
+    without doc_id, or of one doc_id with different texts, are judged each by itself."""
+    one, two = F.xxhash64("text"), F.xxhash64(F.lit("leak"), "text")
+    first, second = free(docs, "leak_one"), free(docs, "leak_two")
+    gone = saved(_finds(docs.select("text", one.alias(first), two.alias(second)), benchmark).select(first, second).distinct(), "leaks")
+    gone = gone.select(F.col(first).alias("_" + first), F.col(second).alias("_" + second))
+    return docs.join(gone, (one == F.col("_" + first)) & (two == F.col("_" + second)), "left_anti").select(*docs.columns)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from keystrand.llm.copies import numbered
 from keystrand.llm.store import free, saved
 
 BITS = 12
@@ -17,9 +18,9 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def draw(doc_id: Column, salt: str = "mix:") -> Column:
-    """A fixed draw of 36 bits from the document's id."""
-    key = F.concat(F.lit(salt), F.coalesce(doc_id.cast("string"), F.lit("")))
+def draw(doc_id: Column, text: Column, copy: Column) -> Column:
+    """A fixed draw of 36 bits from a row's id, its text and its number among rows alike in both."""
+    key = F.concat_ws(":", F.lit("mix"), F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")).cast("binary")), copy.cast("string"))
     return F.conv(F.substring(F.md5(key), 1, LEVELS * BITS // 4), 16, 10).cast("long")
 
 
@@ -73,18 +74,25 @@ def mix_plan(sized: DataFrame, weights: tuple[float, ...], cap: float) -> DataFr
     return saved(_thresholds(sized, plan).select(F.col("source").alias("s"), "source_size", "target", "times", "threshold"), "mix-thresholds")
 
 
+def _drawn(docs: DataFrame, copy: str, at: str) -> DataFrame:
+    """``docs`` with each row's draw as ``at``."""
+    told = numbered(docs, copy, "doc_id", F.coalesce("text", F.lit("")))
+    return told.withColumn(at, draw(F.col("doc_id"), F.col("text"), F.col(copy)))
+
+
 def _sized(docs: DataFrame) -> DataFrame:
-    return saved(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), draw(F.col("doc_id")).alias("draw")), "mix-sized")
+    rows = _drawn(docs.select("doc_id", "source", "text"), "copy", "draw")
+    return saved(rows.select("doc_id", "source", word_count(F.col("text")).alias("size"), "draw"), "mix-sized")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
     """(doc_id, size, source_size, target, taken, repeats) for every row of ``docs``.
 
     A source takes each of its documents floor(target / size of the source) times, and those with a draw below the
-    source's threshold once more. Draws depend on doc_id alone, so reruns agree and a larger target keeps what a
-    smaller one took. Null or empty text: size 0, nothing taken. A null source is a source of its own, the last.
-    Repeated rows of one doc_id are taken or left together; rows without doc_id share one draw. Columns of ``docs``
-    other than doc_id, text and source are not read. An empty table gives an empty result.
+    source's threshold once more. Draws depend on doc_id and text, and on a number among rows alike in both, so reruns
+    agree, a larger target keeps what a smaller one took, and rows without doc_id are drawn each for itself. Null or
+    empty text: size 0, nothing taken. A null source is a source of its own, the last. Columns of ``docs`` other than
+    doc_id, text and source are not read. An empty table gives an empty result.
     """
     sized = _sized(docs)
     found = mix_plan(sized, weights, cap)
@@ -96,10 +104,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
     """``docs`` with each row as often as :func:`mix` takes it; columns as they came. Texts aren't shuffled: a row
     needs only the plan of its source."""
-    at, of, copies = free(docs, "mix"), free(docs, "mix_source"), free(docs, "mix_copies")
+    at, of, copies, copy, drawn = (free(docs, n) for n in ("mix", "mix_source", "mix_copies", "mix_copy", "mix_draw"))
     found = mix_plan(_sized(docs), weights, cap).select(F.struct("times", "threshold").alias(at), F.col("s").alias(of))
-    joined = docs.join(found, F.col("source").eqNullSafe(F.col(of)))
-    once_more = (draw(F.col("doc_id")) < F.col(at)["threshold"]).cast("long")
+    joined = _drawn(docs, copy, drawn).join(found, F.col("source").eqNullSafe(F.col(of)))
+    once_more = (F.col(drawn) < F.col(at)["threshold"]).cast("long")
     repeats = F.least(F.col(at)["times"] + once_more, F.lit(int(cap)).cast("long"))
     taken = joined.withColumn(copies, F.when(repeats > 0, F.sequence(F.lit(1).cast("long"), repeats)))
     return taken.withColumn(copies, F.explode(copies)).select(*docs.columns)

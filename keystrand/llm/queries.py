@@ -85,7 +85,7 @@ from counted
 _MIX_SQL = """
 with sized as (
   select doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''))::bigint as size,
-         ('0x' || substr(md5('mix:' || coalesce(doc_id::varchar, '')), 1, 9))::bigint as draw
+         ('0x' || substr(md5('mix:' || coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, '')) || ':' || (row_number() over (partition by doc_id, coalesce(text, '')) - 1)::varchar), 1, 9))::bigint as draw
   from documents),
 sources as (
   select source, sum(size)::bigint as source_size,

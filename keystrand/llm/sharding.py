@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from keystrand.llm.copies import numbered
 from keystrand.llm.store import free
 
 REGION = 10
@@ -58,18 +59,21 @@ def assign_shards(docs: DataFrame, shards: int = 40) -> DataFrame:
 
     size is the text's UTF-8 bytes plus 16, null text counts none and has the check sum of the empty text. Rows of a
     null doc_id go together, as do repeated rows of one doc_id. Slots number a shard's rows from 0 by a hash bucket of
-    the id, then id, check sum and size; a bucket holds about a 256th of a shard, and a running sum of bucket counts
-    joins them, so no task sorts a whole shard. Other columns are not read; an empty table gives an empty result.
+    id, check sum, size and the number among rows alike in these, so a bucket holds about a 256th of a shard whatever
+    repeats; a running sum of bucket counts joins them, so no task sorts a whole shard. Other columns are not read; an
+    empty table gives an empty result.
     """
     text = F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))
-    rows = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    rows = rows.select("*", tree_shard(F.col("doc_id"), shards).alias("shard"), tree_shard(F.col("doc_id"), shards + 1).alias("grown_shard"), F.pmod(F.xxhash64(F.lit("slot"), "doc_id"), F.lit(SLOT_BUCKETS)).cast("int").alias("bucket"))
+    told = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    rows = numbered(told, "copy", "doc_id", "size", "text_crc32")
+    bucket = F.pmod(F.xxhash64(F.lit("slot"), "doc_id", "size", "text_crc32", "copy"), F.lit(SLOT_BUCKETS)).cast("int")
+    rows = rows.select("*", tree_shard(F.col("doc_id"), shards).alias("shard"), tree_shard(F.col("doc_id"), shards + 1).alias("grown_shard"), bucket.alias("bucket"))
     counts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = F.sum("n").over(W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
     starts = counts.select(F.col("shard").alias("_shard"), F.col("bucket").alias("_bucket"), F.coalesce(before, F.lit(0)).alias("_start"))
-    place = F.row_number().over(W.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")) - 1
-    numbered = rows.withColumn("place", place).join(starts, (F.col("shard") == F.col("_shard")) & (F.col("bucket") == F.col("_bucket")))
-    return numbered.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_start") + F.col("place")).cast("long").alias("slot"), "grown_shard")
+    place = F.row_number().over(W.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size", "copy")) - 1
+    placed = rows.withColumn("place", place).join(starts, (F.col("shard") == F.col("_shard")) & (F.col("bucket") == F.col("_bucket")))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_start") + F.col("place")).cast("long").alias("slot"), "grown_shard")
 
 
 def sharded(docs: DataFrame, shards: int = 40) -> DataFrame:
