@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,13 +13,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keystrand.llm.store import bounded_batches
 from keystrand.llm.tagger import WINDOW, Tagger, classes_of
 from keystrand.llm.words import chunks, text_buffers
 
-KINDS = ("email", "ip", "card", "phone")
+BASE_KINDS = ("email", "ip", "card", "phone")
+#: The tagger also finds secrets: keys and tokens, for which there is no fixed pattern.
+KINDS = (*BASE_KINDS, "secret")
 SAMPLE = 100
+CARRIER = 4000
+#: What closes a sentence or a quotation and no value.
+CLOSING = " \n.,;:!?\"'"
 EXAMPLES = 1500
-STEPS = 160
+STEPS = 240
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -43,7 +50,7 @@ def luhn(digits: str) -> bool:
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
-    """Leftmost non-overlapping matches of each kind that pass its test, in the order of ``KINDS``, then of place.
+    """Leftmost non-overlapping matches of each kind that pass its test, in the order of ``BASE_KINDS``, then of place.
 
     Each pattern is read so that a text takes linear time: an e-mail is looked for around each @, and runs of digits
     are consumed whole, which changes no match because a match that fails at a run's start fails within it.
@@ -84,14 +91,21 @@ def plausible(kind: str, value: str) -> bool:
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
     if kind == "card":
         return 13 <= len(digits) <= 19 and luhn(digits)
+    if kind == "secret":
+        return len(value) >= 16 and len(digits) >= 4 and bool(re.fullmatch(r"(?=(?:[^A-Za-z]*[A-Za-z]){4})[A-Za-z0-9_+/=.\-]+", value))
     return 9 <= len(digits) <= 15 and len(re.findall(r"[ ().\-/]+", value)) >= 2 and not re.search(r"[^0-9 ()./+\-]", value)
 
 
+ALNUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+#: What may stand before a secret; what closes it follows.
+BEFORE_SECRETS = ('token = "', "TOKEN = '", "api_key: ", "key=", "secret ", 'password = "', "Bearer ", "")
+
+
 def _value(rng: random.Random) -> tuple[str | None, str]:
     """A made-up value and its kind; None for what looks like personal data and is none."""
     d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
     w = lambda a, b: "".join(rng.choice("abcdefghijklmnoprstuvwz") for _ in range(rng.randint(a, b)))
-    kind = rng.choice(["email", "email", "ip", "ip", "card", "card", "phone", "phone", None, None, None])
+    kind = rng.choice(["email", "email", "ip", "ip", "card", "card", "phone", "phone", "secret", "secret", None, None, None])
     if kind == "email":
         local = w(2, 9) + rng.choice(["", "." + w(2, 6), "." + d(2), "_" + d(1)])
         host = w(3, 9) + rng.choice(["", d(1)]) + "." + rng.choice(["com", "example", "org", "net"]) + rng.choice(["", ".com", ".org"])
@@ -105,7 +119,10 @@ def _value(rng: random.Random) -> tuple[str | None, str]:
     if kind == "phone":
         a, b, c = d(3), d(3), d(4)
         return kind, rng.choice([f"+{d(1)} ({a}) {b}-{c}", f"+{d(2)} {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"0{d(2)}/{b} {c}", f"+{d(2)}{a}{b}{c}"])
-    return None, rng.choice([f'token = "{"".join(rng.choice("0123456789abcdef") for _ in range(40))}"', d(rng.randint(1, 8)), f"{d(1)}.{d(1)}.", f"20{d(2)}-{d(2)}-{d(2)}", f"{d(2)}:{d(2)}", f"{d(3)}.{d(2)}", f"@{w(4, 8)}", f"v{d(1)}.{d(1)}.{d(2)}", f"{d(6)}x", "".join(rng.choice("0123456789ABCDEF") for _ in range(24))])
+    if kind == "secret":
+        of = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+        return kind, rng.choice([of("0123456789abcdef", rng.choice([32, 40, 40, 64])), of("0123456789ABCDEF", rng.choice([32, 40])), "sk-" + of(ALNUM, 32), "AKIA" + of("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), "ghp_" + of(ALNUM, 36), of(ALNUM, rng.randint(20, 44))])
+    return None, rng.choice([w(25, 40), d(rng.randint(1, 8)), f"{d(1)}.{d(1)}.", f"20{d(2)}-{d(2)}-{d(2)}", f"{d(2)}:{d(2)}", f"{d(3)}.{d(2)}", f"@{w(4, 8)}", f"v{d(1)}.{d(1)}.{d(2)}", f"{d(6)}x", d(16), f"www.{w(4, 12)}.com/{w(8, 20)}/{d(4)}"])
 
 
 def labelled_examples(texts: list[str], n: int = EXAMPLES, seed: int = 3) -> list[tuple[str, list[tuple[str, int, int]]]]:
@@ -121,9 +138,11 @@ def labelled_examples(texts: list[str], n: int = EXAMPLES, seed: int = 3) -> lis
             text += "" if MARK.search(piece) else piece
             text += rng.choice([" ", " ", "\n", " - ", ": ", ""]) if text and text[-1].isspace() else rng.choice([" ", " ", "\n", ": ", " | "])
             kind, value = _value(rng)
+            before = rng.choice(BEFORE_SECRETS) if kind == "secret" else ""
+            text += before
             if kind:
                 spans.append((kind, len(text), len(text) + len(value)))
-            text += value + rng.choice([" ", "", ". ", ", ", "!! ", "### ", "\n", "%%% "])
+            text += value + before[-1:].strip(" =") + rng.choice([" ", "", ". ", ", ", "!! ", "### ", "\n", "%%% "])
         out.append((text, spans))
     return out
 
@@ -146,12 +165,8 @@ def train(examples, steps: int = STEPS) -> Tagger:
     return tagger
 
 
-def added_spans(text: str, base: list[tuple[str, int, int]], tagger: Tagger) -> list[tuple[str, int, int]]:
+def added_spans(text: str, base: list[tuple[str, int, int]], tags: np.ndarray) -> list[tuple[str, int, int]]:
     """Spans that the tagger finds beside the base ones: of one kind throughout, plausible, apart from every base span."""
-    marks = np.array([m.start() for m in MARK.finditer(text)], dtype=np.int64)
-    if not len(marks):
-        return []
-    tags = tagger.tags(classes_of(text), marks)
     kind = np.where(tags > 0, (tags + 1) // 2, 0)
     opened = (kind > 0) & ((tags % 2 == 1) | (np.concatenate([[0], kind[:-1]]) != kind))
     taken = sorted((s, e) for _, s, e in base)
@@ -160,29 +175,45 @@ def added_spans(text: str, base: list[tuple[str, int, int]], tagger: Tagger) ->
         end = start + 1
         while end < len(tags) and kind[end] == kind[start] and not opened[end]:
             end += 1
-        while end > start and text[end - 1] in " \n.,;:!?":
+        while end > start and text[end - 1] in CLOSING:
             end -= 1
         while at < len(taken) and taken[at][1] <= start:
             at += 1
-        clear = at == len(taken) or all(s >= end or e <= start for s, e in taken[at : at + 8])
+        later = bisect_left(taken, (end, 0))
+        clear = all(e <= start for _, e in taken[at:later])
         name = KINDS[kind[start] - 1]
         if end > start and clear and plausible(name, text[start:end]):
             out.append((name, start, end))
     return out
 
 
+def marks_of(text: str) -> np.ndarray:
+    """Places without which a text holds nothing: a span that :func:`plausible` lets pass has one of them."""
+    return np.array([m.start() for m in MARK.finditer(text)], dtype=np.int64)
+
+
+def added_to(texts: list[str], bases: list[list[tuple[str, int, int]]], tagger: Tagger) -> list[list[tuple[str, int, int]]]:
+    """:func:`added_spans` of some texts, whose windows go through the tagger together."""
+    tags = tagger.tags([classes_of(t) for t in texts], [marks_of(t) for t in texts])
+    return [added_spans(*x) for x in zip(texts, bases, tags, strict=True)]
+
+
 def _joined(spans) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (KINDS.index(x[0]), x[1], x[2])))
 
 
 def find(docs: DataFrame, tagger: Tagger) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for every row of ``docs``.
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret, n_spans) for every row of ``docs``.
 
-    The counts and the hash are of the base spans; ``spans`` lists base and added ones as kind:start:end in code
-    points. Null and empty texts have none. Only texts with a digit, an @ or a bracketed at or dot are read further,
-    since every value holds one. Repeated rows come out alike; other columns are not read.
+    The first four counts and the hash are of the base spans; ``spans`` lists base and added ones as kind:start:end in
+    code points, secrets last, and n_spans counts them. Null and empty texts have none. Only texts with a digit, an @ or
+    a bracketed at or dot are read further, since every value that is let pass holds one. A long text is read whole;
+    what a task holds for it grows with its length, by some ten bytes a character near such places. Repeated rows come
+    out alike; other columns are not read; an empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(tagger)
+    numbers = [*(f"n_{k}" for k in BASE_KINDS), "n_secret", "n_spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = hashlib.sha256(b"").hexdigest()
@@ -190,28 +221,34 @@ def find(docs: DataFrame, tagger: Tagger) -> DataFrame:
             data, at = text_buffers(batch.column("text"))
             for low, high in chunks(at):
                 n = high - low
-                counts, digest, listed = np.zeros((len(KINDS), n), np.int64), [none] * n, [""] * n
+                counts, digest, listed = np.zeros((len(numbers), n), np.int64), [none] * n, [""] * n
                 part = data[at[low] : at[high]]
                 anchors = ANCHOR[part]
                 anchors[[m.start() for m in BRACKETED_BYTES.finditer(part.tobytes())]] = True
                 marked = np.concatenate([[0], np.cumsum(anchors)])
                 edges = at[low : high + 1] - at[low]
-                for i in np.flatnonzero(marked[edges[1:]] > marked[edges[:-1]]).tolist():
-                    text = data[at[low + i] : at[low + i + 1]].tobytes().decode("utf-8", "replace")
-                    base = base_spans(text)
+                rows = np.flatnonzero(marked[edges[1:]] > marked[edges[:-1]]).tolist()
+                texts = [data[at[low + i] : at[low + i + 1]].tobytes().decode("utf-8", "replace") for i in rows]
+                bases = [base_spans(t) for t in texts]
+                for i, base, added in zip(rows, bases, added_to(texts, bases, shared.value), strict=True):
                     for k, _, _ in base:
-                        counts[KINDS.index(k), i] += 1
+                        counts[BASE_KINDS.index(k), i] += 1
                     digest[i] = hashlib.sha256(_joined(base).encode()).hexdigest()
-                    listed[i] = _joined(base + added_spans(text, base, shared.value))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, n), *[pa.array(c) for c in counts], pa.array(digest), pa.array(listed)], ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans"])
+                    listed[i] = _joined(base + added)
+                    counts[-2:, i] = sum(k == "secret" for k, _, _ in added), len(base) + len(added)
+                columns = dict(zip(numbers, counts, strict=True)) | {"base_sha256": digest, "spans": listed}
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, n), *(pa.array(columns[f]) for f in order)], ["doc_id", *order])
 
-    schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string"
+    order = [*numbers[:-2], "base_sha256", "spans", *numbers[-2:]]
+    schema = "doc_id long, " + ", ".join(f"{f} {'string' if f in ('base_sha256', 'spans') else 'long'}" for f in order)
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def fitted(docs: DataFrame, sample: int = SAMPLE) -> Tagger:
-    """A tagger trained on values set into the running text of at most ``sample`` documents, drawn by a hash of the
-    id; with fewer or none it is trained on the values alone."""
-    ids = docs.select(F.col("doc_id").alias("_id")).filter("_id is not null").distinct().orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id"), "left_semi").filter("text is not null").limit(4 * sample).collect()
-    return train(labelled_examples([r.text for r in sorted(texts, key=lambda r: (r.doc_id, r.text))]))
+    """A tagger trained on values set into the running text of ``sample`` rows at most, those of least hash of doc_id
+    and text, alike ones once; with fewer or none it is trained on the values alone. Of each such text a stretch of
+    ``CARRIER`` characters from a drawn place on goes to the driver, as running text between values is all it is for."""
+    drawn = docs.select(F.xxhash64("doc_id", "text").alias("hash"), "text").filter("doc_id is not null and text is not null")
+    at = F.pmod(F.xxhash64("hash"), F.greatest(F.length("text") - CARRIER, F.lit(1))).cast("int") + 1
+    rows = drawn.select("hash", F.substring("text", at, F.lit(CARRIER)).alias("text")).groupBy("hash").agg(F.first("text").alias("text")).orderBy("hash").limit(sample).collect()
+    return train(labelled_examples([r.text for r in rows]))

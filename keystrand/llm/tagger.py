@@ -7,6 +7,10 @@ import numpy as np
 HIDDEN = 16
 WINDOW = 96
 STRIDE = 48
+MARGIN = (WINDOW - STRIDE) // 2
+#: Empty strides between texts, so that no window sees two, and windows of a region that are scored at once.
+APART = 2
+COLUMN = 64
 #: Characters with a class of their own.
 CHARS = "atdo@.+-_%()[] \n:;,/#=\"'|*$&!?<>"
 DIGIT, LOW, UP, WIDE, OTHER = range(1 + len(CHARS), 6 + len(CHARS))
@@ -126,43 +130,90 @@ class Tagger:
                 self.p[k] = (self.p[k] - rate * (1 - t / (steps + 1)) * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-7)).astype(np.float32)
         return losses
 
-    def decode(self, x: np.ndarray) -> np.ndarray:
-        """The best tag sequence of each window."""
-        scores = self._scores(x)[0]
-        best, back = scores[0], np.empty(scores.shape, np.int64)
-        for t in range(1, len(scores)):
-            step = best[:, :, None] + self.p["a"]
-            back[t] = step.argmax(axis=1)
-            best = scores[t] + step.max(axis=1)
-        out = np.empty(scores.shape[:2], np.int64)
-        out[-1] = best.argmax(axis=1)
-        for t in range(len(scores) - 1, 0, -1):
-            out[t - 1] = np.take_along_axis(back[t], out[t][:, None], 1)[:, 0]
-        return out.T
-
-    def tags(self, codes: np.ndarray, marks: np.ndarray, batch: int = 256) -> np.ndarray:
-        """Tags of a whole text: overlapping windows are decoded where one holds a mark, and of each the middle counts,
-        so that every character is taken from the window in which it stands farthest from an edge. ``marks`` are the
-        sorted places without which no span can be. Where a span reaches the edge of what is decoded, the next window
-        is decoded too, so a span with a mark comes out whole."""
-        margin = (WINDOW - STRIDE) // 2
-        out = np.zeros(len(codes), np.int64)
-        windows = np.unique(np.concatenate([(marks + margin) // STRIDE + d for d in (-1, 0, 1)]))
-        last = (len(codes) + 2 * margin - 1) // STRIDE
-        windows = windows[(windows >= 0) & (windows <= last)]
-        padded = np.concatenate([np.zeros(WINDOW, np.int64), codes, np.zeros(2 * WINDOW, np.int64)])
-        done = np.zeros(last + 2, dtype=bool)
-        while len(windows):
-            done[windows] = True
-            beyond = []
-            for part in np.array_split(windows, max(1, -(-len(windows) // batch))):
-                begin = part * STRIDE - STRIDE // 2 - margin
-                found = self.decode(padded[begin[:, None] + WINDOW + np.arange(WINDOW)])[:, margin : margin + STRIDE]
-                place = (begin + margin)[:, None] + np.arange(STRIDE)
-                inside = (place >= 0) & (place < len(codes))
-                out[place[inside]] = found[inside]
-                beyond += [part[found[:, 0] > 0] - 1, part[found[:, -1] > 0] + 1]
-            windows = np.unique(np.concatenate(beyond))
-            windows = windows[(windows >= 0) & (windows <= last)]
-            windows = windows[~done[windows]]
+    def emissions(self, x: np.ndarray, batch: int = 256) -> np.ndarray:
+        """Emission scores of the middles of windows x (row, time), as (row, STRIDE, tag)."""
+        parts = [self._scores(part)[0][MARGIN : MARGIN + STRIDE].transpose(1, 0, 2) for part in np.array_split(x, max(1, -(-len(x) // batch)))]
+        return np.concatenate(parts)
+
+    def decode(self, padded: np.ndarray, first: np.ndarray, count: np.ndarray) -> list[np.ndarray]:
+        """The best tag sequence of each region as a whole: ``count`` windows from ``first`` on, whose middles are laid
+        end to end. All regions advance together, the longest first; emissions stand for ``COLUMN`` windows of each at
+        a time, so a long region costs the memory of its back pointers alone, a byte for each tag and character."""
+        order = np.argsort(-count, kind="stable")
+        first, count = first[order], count[order]
+        best, back = np.zeros((len(first), self.p["b"].size), np.float32), []
+        for column in range(0, int(count.max(initial=0)), COLUMN):
+            live = int(np.searchsorted(-count, -column, side="left"))
+            width = np.minimum(count[:live] - column, COLUMN)
+            base = np.concatenate([[0], np.cumsum(width)])[:-1]
+            windows = np.repeat(first[:live] + column - base, width) + np.arange(int(width.sum()))
+            scores = self.emissions(padded[windows[:, None] * STRIDE + np.arange(WINDOW)])
+            for k in range(int(width.max(initial=0))):
+                n = int(np.searchsorted(-width, -k, side="left"))
+                for t in range(STRIDE):
+                    if column or k or t:
+                        step = best[:n, :, None] + self.p["a"]
+                        back.append(step.argmax(axis=1).astype(np.int8))
+                        best[:n] = step.max(axis=1)
+                    best[:n] += scores[base[:n] + k, t]
+        out = np.zeros((len(first),), dtype=object)
+        tags = best.argmax(axis=1)
+        lengths = count * STRIDE
+        path = [np.zeros(n, np.int8) for n in lengths.tolist()]
+        flat, at = np.concatenate(path) if path else np.zeros(0, np.int8), np.concatenate([[0], np.cumsum(lengths)])
+        for t in range(int(lengths.max(initial=0)) - 1, -1, -1):
+            n = int(np.searchsorted(-lengths, -t, side="left"))
+            flat[at[:n] + t] = tags[:n]
+            if t:
+                tags[:n] = back[t - 1][np.arange(n), tags[:n]]
+        for i, k in enumerate(order.tolist()):
+            out[k] = flat[at[i] : at[i + 1]]
+        return list(out)
+
+    def tags(self, texts: list[np.ndarray], marks: list[np.ndarray]) -> list[np.ndarray]:
+        """Tags of whole texts, given as classes; 0 far from ``marks``, the sorted places without which no span can be.
+
+        Emissions come from overlapping windows, each character's from the one in which it stands farthest from an edge;
+        one Viterbi search then goes over each run of windows near marks, so tags across seams are one legal path. Where
+        a span reaches the edge of a run, the run is made longer until none does. Texts stand apart at whole strides, so
+        what a text gets doesn't depend on those beside it.
+        """
+        sizes = np.array([-(-len(x) // STRIDE) for x in texts], dtype=np.int64)
+        start = np.concatenate([[0], np.cumsum(sizes + APART)])
+        padded = np.zeros((start[-1] + APART) * STRIDE + WINDOW, np.int64)
+        for x, at in zip(texts, start.tolist(), strict=False):
+            padded[MARGIN + at * STRIDE : MARGIN + at * STRIDE + len(x)] = x
+        out = [np.zeros(len(x), np.int64) for x in texts]
+        near = [np.concatenate([m // STRIDE + d for d in (-1, 0, 1)]) for m in marks]
+        todo = [(i, w) for i, x in enumerate(near) for w in _runs(np.unique(np.clip(x, 0, sizes[i] - 1)))] if len(texts) else []
+        reach = 1
+        while todo:
+            found = self.decode(padded, np.array([start[i] + a for i, (a, _) in todo]), np.array([z - a for _, (a, z) in todo]))
+            beyond: dict[int, list[tuple[int, int]]] = {}
+            for (i, (a, z)), got in zip(todo, found, strict=True):
+                own = out[i][a * STRIDE : z * STRIDE]
+                own[:] = got[: len(own)]
+                longer = (max(0, a - reach) if got[0] > 0 else a, min(int(sizes[i]), z + reach) if got[-1] > 0 else z)
+                if longer != (a, z):
+                    beyond.setdefault(i, []).append(longer)
+            todo = [(i, run) for i, runs in beyond.items() for run in _joined_runs(runs)]
+            reach *= 2
         return out
+
+
+def _runs(windows: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of consecutive windows as (first, one past the last)."""
+    if not len(windows):
+        return []
+    cuts = np.flatnonzero(np.diff(windows) > 1) + 1
+    return [(int(p[0]), int(p[-1]) + 1) for p in np.split(windows, cuts)]
+
+
+def _joined_runs(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, z in sorted(runs):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(z, out[-1][1]))
+        else:
+            out.append((a, z))
+    return out
