@@ -6,6 +6,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,18 +17,31 @@ CASTAGNOLI = 0x82F63B78
 
 
 def xxh64(data: Column, seed: int = 42) -> Column:
-    """XXH64 of bytes as a signed integer. Spark's own function has the seed 42; others go through Arrow batches.
-    A hash fed in pieces is that of the pieces' concatenation."""
+    """XXH64 of bytes as a signed integer; null has the seed as Spark has it for 42, else null. Spark's own function has
+    the seed 42; others go through Arrow batches."""
     if seed == 42:
         return F.xxhash64(data)
-    return _xxh64(data.cast("binary"), F.lit(seed))
+    return _xxh64_pieces(F.when(data.isNotNull(), F.array(data.cast("binary"))), F.lit(seed).cast("long"))
 
 
-@F.pandas_udf(T.LongType())
-def _xxh64(data: pd.Series, seed: pd.Series) -> pd.Series:
+def xxh64_of_pieces(pieces: Column, seed: int = 0) -> Column:
+    """XXH64 of an array of byte strings fed one after the other, which is that of their concatenation; null pieces add
+    nothing, a null array stays null."""
+    return _xxh64_pieces(pieces.cast("array<binary>"), F.lit(seed).cast("long"))
+
+
+@F.arrow_udf(T.LongType())
+def _xxh64_pieces(pieces: pa.Array, seed: pa.Array) -> pa.Array:
     import xxhash
 
-    return pd.Series([None if x is None else int(np.uint64(xxhash.xxh64_intdigest(x, int(s))).view(np.int64)) for x, s in zip(data, seed, strict=True)], dtype="Int64")
+    out = np.zeros(len(pieces), np.uint64)
+    for i, (row, start) in enumerate(zip(pieces, seed.to_numpy(), strict=True)):
+        state = xxhash.xxh64(seed=int(start) % (1 << 64))
+        for piece in row.values or ():
+            if piece.is_valid:
+                state.update(piece.as_buffer())
+        out[i] = state.intdigest()
+    return pc.if_else(pieces.is_valid(), pa.array(out.view(np.int64)), pa.scalar(None, pa.int64()))
 
 
 @lru_cache(maxsize=1)

@@ -59,6 +59,19 @@ def translated(text: Column, source: str, target: str) -> Column:
     return F.translate(text, source, target)
 
 
+def translated_bytes(data: Column, table: bytes) -> Column:
+    """Each byte of ``data`` as the entry of a table of 256 for it."""
+    if len(table) != 256:
+        raise ValueError("a table of bytes has 256 entries")
+    pairs = [(bytes([i]).decode("latin-1"), table[i : i + 1].decode("latin-1")) for i in range(256) if i != table[i]]
+    latin = F.decode(data.cast("binary"), "ISO-8859-1")
+    # a NUL as a target would delete, so it is set in afterwards
+    told = F.translate(latin, "".join(a for a, _ in pairs), "".join(b for _, b in pairs).replace("\0", "\u0100"))
+    return F.encode(F.replace(told, F.lit("\u0100"), F.lit("\0")), "ISO-8859-1")
+
+
 def aligned(n: Column, to: int = 64) -> Column:
-    """n rounded up to a multiple of ``to``."""
-    return F.floor((n + (to - 1)) / F.lit(to)) * to
+    """n rounded up to a multiple of ``to``, a power of two; exact over all long integers whose result is one."""
+    if to < 1 or to & (to - 1):
+        raise ValueError("an alignment is a power of two")
+    return (n.cast("long") + F.lit(to - 1)).bitwiseAND(F.lit(-to).cast("long"))

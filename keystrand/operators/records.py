@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keystrand.operators.keyset import build, ordinals
 from keystrand.plans.prefix import ranged, running_sums
 
+#: Rows of one text's suffixes in a batch; each carries the text.
+SUFFIXES_AT_ONCE = 1 << 10
+
 
 def get(records: DataFrame, wanted: DataFrame, rec_id: str) -> DataFrame:
     """The records with the ids of ``wanted``. Spark broadcasts the ids if they are few."""
@@ -55,14 +59,46 @@ def entropy(rows: DataFrame, column: str) -> DataFrame:
     return counts.join(F.broadcast(total)).agg(F.count("*").alias("n_symbols"), F.round(-F.sum(share * F.log2(share)), 6).alias("bits"))
 
 
+def byte_entropy(rows: DataFrame, column: str) -> DataFrame:
+    """:func:`entropy` of a column's bytes."""
+    return entropy(rows.select(F.decode(F.col(column).cast("binary"), "ISO-8859-1").alias("bytes")), "bytes")
+
+
+def suffix_order(text: str) -> np.ndarray:
+    """Where the suffixes of a text start, in their order, by doubling the length that is compared: memory in proportion
+    to the text."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    n, width = len(points), 1
+    rank = np.unique(points, return_inverse=True)[1] + 1
+    while True:
+        ahead = np.zeros(n, np.int64)
+        ahead[: max(0, n - width)] = rank[width:]
+        order = np.lexsort((ahead, rank))
+        fresh = np.ones(n, dtype=bool)
+        fresh[1:] = (rank[order][1:] != rank[order][:-1]) | (ahead[order][1:] != ahead[order][:-1])
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(fresh)
+        if fresh.all() or width >= n:
+            return order
+        width *= 2
+
+
 def suffix_array(texts: DataFrame, column: str) -> DataFrame:
-    """(column, rank, at): the suffixes of each text in order, by character positions from 0. A text's suffixes are
-    sorted together, so this is for keys and lines, not for whole corpora."""
-    at = texts.select(column, F.explode(F.sequence(F.lit(1), F.length(column))).alias("p")).filter("p <= length({0})".format(column))
-    rank = F.row_number().over(W.partitionBy(column).orderBy(F.expr(f"substring({column}, p)"))) - 1
-    return at.select(column, rank.cast("long").alias("rank"), (F.col("p") - 1).cast("long").alias("at"))
+    """(column, rank, at): the suffixes of each row's text in order, by character positions from 0; null and empty texts
+    have none. A text is sorted where it stands, so it may be long; rows aren't shuffled."""
+
+    def run(batches):
+        for batch in batches:
+            for text in batch.column(0):
+                order = suffix_order(text.as_py() or "") if text.as_py() else np.zeros(0, np.int64)
+                for low in range(0, len(order), SUFFIXES_AT_ONCE):
+                    part = order[low : low + SUFFIXES_AT_ONCE]
+                    same = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(part), np.int32)), pa.array([text.as_py()])).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([same, pa.array(np.arange(low, low + len(part))), pa.array(part)], [column, "rank", "at"])
+
+    return texts.select(column).mapInArrow(run, f"`{column}` string, rank long, at long")
 
 
 def sample(rows: DataFrame, rec_id: str, per_mille: int) -> DataFrame:
-    """A fixed sample by id for dictionaries."""
-    return rows.filter((F.col(rec_id) * 7919) % 1000 < per_mille).select(rec_id)
+    """A fixed sample by id for dictionaries, of ids of any sign and size."""
+    return rows.filter(F.pmod(F.pmod(F.col(rec_id), F.lit(1000)) * 7919, F.lit(1000)) < per_mille).select(rec_id)

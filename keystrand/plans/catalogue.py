@@ -233,7 +233,8 @@ def concat_strings(spark, sf_dir):
 
 @_query("select p_partkey, translate(p_name, 'aeiou', 'AEIOU') as translated from part")
 def translate_bytes(spark, sf_dir):
-    return _table(spark, sf_dir, "part").select("p_partkey", text.translated(F.col("p_name"), "aeiou", "AEIOU").alias("translated"))
+    table = bytes(i - 32 if chr(i) in "aeiou" else i for i in range(256))
+    return _table(spark, sf_dir, "part").select("p_partkey", text.translated_bytes(F.col("p_name"), table).cast("string").alias("translated"))
 
 
 @_query("select c_custkey, c_name as line, length(c_name)::int as len from customer")
@@ -295,12 +296,17 @@ def char_entropy(spark, sf_dir):
     return records.entropy(_table(spark, sf_dir, "part"), "p_name")
 
 
+@_query("with c as (select c, count(*) as n from (select substr(h, i, 2) as c from (select h, unnest(range(1, length(h), 2)) as i from (select hex(encode(text)) as h from benchmark))) group by c) select count(*) as n_symbols, round(-sum(n / t * log2(n / t)), 6) as bits from c, (select sum(n) as t from c)")
+def byte_entropy(spark, sf_dir):
+    return records.byte_entropy(_table(spark, sf_dir, "benchmark"), "text")
+
+
 @_query(f"select word, row_number() over (partition by word order by substr(word, p)) - 1 as rank, (p - 1)::bigint as at from (select word, unnest(range(1, length(word) + 1)) as p from {_NAMES_SQL})")
 def suffix_array(spark, sf_dir):
     return records.suffix_array(_names(spark, sf_dir), "word")
 
 
-@_query("select doc_id from documents where doc_id * 7919 % 1000 < 45")
+@_query("select doc_id from documents where (doc_id % 1000 + 1000) % 1000 * 7919 % 1000 < 45")
 def sample_dict(spark, sf_dir):
     return records.sample(_table(spark, sf_dir, "documents"), "doc_id", 45)
 

@@ -1,9 +1,4 @@
-"""Schemas of the data model; columns are not null in meaning, so nulls are dropped where rows come in."""
+"""Schemas of the file formats."""
 
-KEY_SET = "word string, ord long"
-RECORDS = "rec_id long, data binary"
-BITS = "pos long, bit int"
-RUNS = "run long, base long, len long"
-DICTIONARY = "code long, value string"
 KEY_VALUE = "key binary, value binary"
 SERIALIZED = "data binary"

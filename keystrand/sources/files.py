@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from keystrand.functions.text import split_pair
+from keystrand.functions.varint import encoded
 from keystrand.plans.model import KEY_VALUE, SERIALIZED
 
 
@@ -87,6 +90,8 @@ class KvReader(_Reader):
                 if len(head) < 8:
                     raise EOFError(f"{partition.path}: a record's lengths are cut short")
                 klen, vlen = struct.unpack(f"{self.order}ii", head)
+                if klen < 0 or vlen < 0:
+                    raise ValueError(f"{partition.path}: a record has a length below 0")
                 body = f.read(klen + vlen)
                 if len(body) < klen + vlen:
                     raise EOFError(f"{partition.path}: a record is cut short")
@@ -96,16 +101,18 @@ class KvReader(_Reader):
 class SeqReader(_Reader):
     def read(self, partition) -> Iterator[tuple]:
         with _opened(partition.path) as f:
-            while True:
-                n = shift = 0
-                while b := f.read(1):
+            while b := f.read(1):
+                n, shift = b[0] & 0x7F, 7
+                while b[0] >= 0x80:
+                    b = f.read(1)
+                    if not b or shift > 63:
+                        raise EOFError(f"{partition.path}: an item's length is cut short or too long")
                     n |= (b[0] & 0x7F) << shift
                     shift += 7
-                    if b[0] < 0x80:
-                        break
-                else:
-                    return
-                yield (f.read(n),)
+                body = f.read(n)
+                if len(body) < n:
+                    raise EOFError(f"{partition.path}: an item is cut short")
+                yield (body,)
 
 
 class Written(WriterCommitMessage):
@@ -113,11 +120,12 @@ class Written(WriterCommitMessage):
         self.path = path
 
 
-class KvWriter(DataSourceWriter):
-    """A file a task, written under a hidden name and renamed when the job commits."""
+class _Writer(DataSourceWriter):
+    """A file a task, written under a hidden name and renamed when the job commits. Names hold a number of the job's
+    own, so appending leaves older files alone; overwriting deletes them once the new ones are whole."""
 
-    def __init__(self, options):
-        self.path = options["path"]
+    def __init__(self, options, overwrite: bool):
+        self.path, self.overwrite, self.job = options["path"], overwrite, uuid.uuid4().hex
         self.order = ">" if options.get("endian", "little") == "big" else "<"
 
     def _system(self):
@@ -125,24 +133,32 @@ class KvWriter(DataSourceWriter):
 
         return fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
 
+    def packed(self, row) -> bytes:
+        raise NotImplementedError
+
     def write(self, rows) -> Written:
         from pyspark import TaskContext
 
         system, folder = self._system()
         system.create_dir(folder, recursive=True)
         task = TaskContext.get()
-        name = f"{folder}/_part-{task.partitionId():06d}-{task.taskAttemptId()}"
+        name = f"{folder}/_part-{self.job}-{task.partitionId():06d}-{task.taskAttemptId()}"
         with system.open_output_stream(name) as f:
             for row in rows:
-                key, value = bytes(row[0]), bytes(row[1])
-                f.write(struct.pack(f"{self.order}ii", len(key), len(value)) + key + value)
+                f.write(self.packed(row))
         return Written(name)
 
     def commit(self, messages) -> None:
+        from pyarrow import fs
+
         system, folder = self._system()
+        system.create_dir(folder, recursive=True)
+        old = [f.path for f in system.get_file_info(fs.FileSelector(folder)) if f.type == fs.FileType.File and not f.base_name.startswith(("_", "."))]
         for m in messages:
             if m is not None:
                 system.move(m.path, f"{folder}/{m.path.rsplit('/', 1)[1][1:].rsplit('-', 1)[0]}")
+        for path in old if self.overwrite else ():
+            system.delete_file(path)
 
     def abort(self, messages) -> None:
         system, _ = self._system()
@@ -151,6 +167,19 @@ class KvWriter(DataSourceWriter):
                 system.delete_file(m.path)
 
 
+class KvWriter(_Writer):
+    def packed(self, row) -> bytes:
+        key, value = bytes(row[0]), bytes(row[1])
+        return struct.pack(f"{self.order}ii", len(key), len(value)) + key + value
+
+
+class SeqWriter(_Writer):
+    def packed(self, row) -> bytes:
+        body = bytes(row[0])
+        length, _ = encoded(np.array([len(body)], np.uint64))
+        return length.tobytes() + body
+
+
 class KvBin(DataSource):
     """Records of two 32-bit lengths, a key and a value; option ``endian`` is little or big."""
 
@@ -165,7 +194,7 @@ class KvBin(DataSource):
         return KvReader(self.options)
 
     def writer(self, schema, overwrite):
-        return KvWriter(self.options)
+        return KvWriter(self.options, overwrite)
 
 
 class StrSeq(DataSource):
@@ -181,6 +210,9 @@ class StrSeq(DataSource):
     def reader(self, schema):
         return SeqReader(self.options)
 
+    def writer(self, schema, overwrite):
+        return SeqWriter(self.options, overwrite)
+
 
 def register(spark: SparkSession) -> None:
     """Make ``kvbin`` and ``strseq`` known to ``spark.read.format``."""

@@ -125,12 +125,90 @@ def test_records_in_a_new_order(spark):
 
 
 @settings(max_examples=20, deadline=None)
-@given(st.lists(st.integers(0, 2**63 - 1), min_size=1, max_size=20))
+@given(st.lists(st.integers(-(2**63), 2**63 - 1), min_size=1, max_size=20))
 def test_varints_come_back(spark, numbers):
     rows = spark.createDataFrame([(n,) for n in numbers], "n long")
     coded = rows.select("n", varint.encode_varint("n").alias("c"))
     for r in coded.select("n", "c", varint.decode_varint("c").alias("d")).collect():
-        assert r.d == r.n and len(r.c) == max(1, -(-r.n.bit_length() // 7))
+        assert r.d == r.n and len(r.c) == max(1, -(-(r.n % 2**64).bit_length() // 7))
+
+
+def test_varints_of_nothing(spark):
+    row = spark.sql("select cast(null as long) n, cast('' as binary) b").select(varint.encode_varint("n"), varint.decode_varint("b"), varint.decode_varint(F.lit(None).cast("binary"))).first()
+    assert tuple(row) == (None, 0, None)
+
+
+def test_aligned_integers(spark):
+    numbers = [0, 1, 63, 64, 65, 2**53, 2**53 + 1, 2**62 + 1, -1, -64, -65]
+    rows = spark.createDataFrame([(n,) for n in numbers], "n long").select("n", text.aligned(F.col("n")).alias("a"), text.aligned(F.col("n"), 1).alias("b"))
+    assert [(r.a, r.b) for r in rows.collect()] == [(-(-n // 64) * 64, n) for n in numbers]
+
+
+def test_samples_of_any_ids(spark):
+    rows = spark.range(-50_000, 50_000).unionByName(spark.createDataFrame([(2**63 - 1,), (-(2**63),)], "id long"))
+    found = {r.id for r in records.sample(rows, "id", 45).collect()}
+    assert {i for i in range(-50_000, 50_000) if i * 7919 % 1000 < 45} == found - {2**63 - 1, -(2**63)}
+
+
+def test_bytes_through_a_table(spark):
+    table = bytes((i * 7 + 3) % 256 for i in range(256))
+    rows = spark.createDataFrame([(bytearray(range(256)),), (bytearray(),), (None,)], "b binary")
+    found = [r[0] for r in rows.select(text.translated_bytes(F.col("b"), table)).collect()]
+    assert [x if x is None else bytes(x) for x in found] == [bytes(range(256)).translate(table), b"", None]
+
+
+def test_suffixes_of_long_texts(spark):
+    texts = ["banana", "", "a" * 3000, "żó👍żó", "ab" * 500 + "a"]
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    found = {}
+    for r in records.suffix_array(rows, "t").collect():
+        found.setdefault(r.t, []).append((r.rank, r.at))
+    assert found == {t: [(k, at) for k, at in enumerate(sorted(range(len(t)), key=lambda i: t[i:]))] for t in texts if t}
+
+
+def test_hash_of_pieces(spark):
+    import xxhash
+
+    rows = spark.createDataFrame([([bytearray(b"ab"), None, bytearray(b"c" * 100)],), ([],), (None,)], "p array<binary>")
+    told = [xxhash.xxh64_intdigest(b"ab" + b"c" * 100, 9), xxhash.xxh64_intdigest(b"", 9), None]
+    found = [r[0] for r in rows.select(checksums.xxh64_of_pieces(F.col("p"), 9)).collect()]
+    assert [x if x is None else x % 2**64 for x in found] == told
+
+
+def test_checksums_of_every_row(spark):
+    """The queries without SQL, row by row, against other implementations."""
+    import xxhash
+
+    from keystrand.plans import catalogue
+
+    def crc(data):
+        c = 0xFFFFFFFF
+        for b in data:
+            c ^= b
+            for _ in range(8):
+                c = c >> 1 ^ (0x82F63B78 if c & 1 else 0)
+        return c ^ 0xFFFFFFFF
+
+    sf_dir = "/root/testdata/sf0.001"
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    found = {r.doc_id: (r.seed42 % 2**64, r.seed0 % 2**64) for r in catalogue.QUERIES["xxh64"](spark, sf_dir).collect()}
+    assert found == {d: (xxhash.xxh64_intdigest(t, 42), xxhash.xxh64_intdigest(t, 0)) for d, t in texts.items()}
+    crcs = {r.doc_id: r.crc for r in catalogue.QUERIES["crc32c"](spark, sf_dir).collect()}
+    assert len(crcs) == len(texts) and all(crcs[d] == crc(texts[d]) for d in list(texts)[:60])
+
+
+def test_verified_values(spark):
+    row = spark.sql("select 'v' v, 1L a, 2L b")
+    assert row.select(checksums.verified(F.col("v"), F.col("a"), F.col("a"), "m")).first()[0] == "v"
+    with pytest.raises(Exception, match="Old = "):
+        row.select(checksums.verified(F.col("v"), F.col("a"), F.col("b"), "m")).collect()
+
+
+def test_hex_digits_that_are_none(spark):
+    rows = spark.createDataFrame([("0aF",), ("zz",)], "h string")
+    assert [r[0] if r[0] is None else bytes(r[0]) for r in rows.select(text.decoded_hex(F.col("h"), strict=False)).collect()] == [b"\x0a", None]
+    with pytest.raises(Exception, match="not hexadecimal"):
+        rows.select(text.decoded_hex(F.col("h"))).collect()
 
 
 def test_checksums_of_known_values(spark):
