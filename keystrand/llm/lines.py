@@ -11,13 +11,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from keystrand.llm.store import dropped, saved
+from keystrand.llm.store import bounded_batches, dropped, saved
 from keystrand.llm.words import chunks, mix64, text_buffers, words_of
 
 SKETCH = 1 << 18
 SLICE = 1 << 12
 MARKS = 1 << 25
 SEEN = 1 << 20
+#: What a document is known by, and the order of lines.
+KEY = ("doc_id", "text_id")
+PLACE = (*KEY, "line")
 
 
 @dataclass
@@ -94,7 +97,12 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.n
     for batch in batches:
         data, at = text_buffers(batch.column("text"))
         for low, high in chunks(at):
-            yield batch.column("doc_id").slice(low, high - low), data, at[low : high + 1]
+            yield {c: batch.column(c).slice(low, high - low) for c in KEY if c in batch.schema.names}, data, at[low : high + 1]
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """A document is known by its id and its text, so that those without id stand each for itself."""
+    return docs.select("doc_id", F.xxhash64("text").alias("text_id"), "text")
 
 
 def token_sketch(docs: DataFrame) -> np.ndarray:
@@ -118,7 +126,7 @@ def token_sketch(docs: DataFrame) -> np.ndarray:
             total += x.values.slice(x.offset * SLICE, len(x) * SLICE).to_numpy().reshape(-1, SLICE).sum(axis=0)
         return pa.table({"part": [key[0].as_py()], "counts": pa.array([total.tolist()], pa.list_(pa.int64()))})
 
-    parts = docs.select("doc_id", "text").mapInArrow(run, "part long, counts array<long>")
+    parts = docs.select("text").mapInArrow(run, "part long, counts array<long>")
     rows = parts.groupBy("part").applyInArrow(add, "part long, counts array<long>").collect()
     out = np.zeros((SKETCH // SLICE, SLICE), np.int64)
     for r in rows:
@@ -133,9 +141,9 @@ def _scan(docs: DataFrame) -> DataFrame:
         for ids, data, at in _batches(batches):
             lines = _lines(data, at)
             hashes = [pa.array(x.view(np.int64)) for x in lines.hashes()]
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(lines.row)), pa.array(lines.number.astype(np.int32)), pa.array(lines.sizes.astype(np.int32)), *hashes], ["doc_id", "line", "n", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([*(x.take(pa.array(lines.row)) for x in ids.values()), pa.array(lines.number.astype(np.int32)), pa.array(lines.sizes.astype(np.int32)), *hashes], [*PLACE, "n", "h1", "h2"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, line int, n int, h1 long, h2 long")
+    return _keyed(docs).mapInArrow(run, "doc_id long, text_id long, line int, n int, h1 long, h2 long")
 
 
 def _prefixes(docs: DataFrame, counts: np.ndarray, few: bool = False, settled: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
@@ -162,9 +170,9 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, few: bool = False, settled: t
             of, rank, tokens = of[kept], rank[kept], lines.tokens[order][kept]
             done = _marked(marks[0], one) & ~_marked(marks[1], two) if marks else np.zeros(len(n), dtype=bool)
             columns = [tokens.view(np.int64), rank.astype(np.int32), one[of].view(np.int64), n[of].astype(np.int32), lines.parities()[of].view(np.int64), done[of]]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), ids.take(pa.array(lines.row[of])), pa.array(lines.number[of].astype(np.int32))], ["token", "at", "h1", "n", "bits", "settled", "doc_id", "line"])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *(x.take(pa.array(lines.row[of])) for x in ids.values()), pa.array(lines.number[of].astype(np.int32))], ["token", "at", "h1", "n", "bits", "settled", *PLACE])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "token long, at int, h1 long, n int, bits long, settled boolean, doc_id long, line int")
+    return _keyed(docs).mapInArrow(run, "token long, at int, h1 long, n int, bits long, settled boolean, doc_id long, text_id long, line int")
 
 
 def _fetch(docs: DataFrame, marks: np.ndarray) -> DataFrame:
@@ -184,7 +192,7 @@ def _fetch(docs: DataFrame, marks: np.ndarray) -> DataFrame:
             hashes = [pa.array(x[kept].view(np.int64)) for x in (one, two)]
             yield pa.RecordBatch.from_arrays([*hashes, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["h1", "h2", "tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "h1 long, h2 long, tokens array<long>")
+    return docs.select("text").mapInArrow(run, "h1 long, h2 long, tokens array<long>")
 
 
 def _marked(marks: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -214,7 +222,7 @@ def _fit(n: str, at: str, bits: str, m: str, at_m: str, bits_m: str) -> Column:
 
 def _with_first(prefixes: DataFrame) -> DataFrame:
     """(g1, h1): each set with the one that comes first among those with its token, if they may be similar."""
-    dealt = prefixes.repartition("token").select("token", "at", "h1", "n", "bits", F.struct("doc_id", "line").alias("place"))
+    dealt = prefixes.repartition("token").select("token", "at", "h1", "n", "bits", F.struct(*PLACE).alias("place"))
     first = F.first(F.struct("at", "h1", "n", "bits")).over(W.partitionBy("token").orderBy("place").rowsBetween(W.unboundedPreceding, W.currentRow))
     rows = dealt.withColumn("c", first).filter(F.col("h1") != F.col("c.h1"))
     return rows.filter(_fit("n", "at", "bits", "c.n", "c.at", "c.bits")).select(F.col("c.h1").alias("g1"), "h1").distinct()
@@ -222,11 +230,13 @@ def _with_first(prefixes: DataFrame) -> DataFrame:
 
 def _met(prefixes: DataFrame) -> DataFrame:
     """(g1, h1): all pairs of sets that share a token of their prefixes and may be similar, the one of fewer tokens
-    first, but for those of two settled sets. One shuffle serves both sides."""
+    first, but for those of two settled sets. Of two similar sets the one of fewer tokens holds a common one among its
+    rarest n - ceil(6n / 7) + 1 already. One shuffle serves both sides."""
     dealt = prefixes.select("token", "at", "h1", "n", "bits", "settled").repartition("token").distinct()
     other = dealt.select(F.col("token").alias("_token"), F.col("at").alias("_at"), F.col("h1").alias("g1"), F.col("n").alias("m"), F.col("bits").alias("_bits"), F.col("settled").alias("_settled"))
     order = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("g1") < F.col("h1")))
-    fit = order & ~(F.col("settled") & F.col("_settled")) & _fit("n", "at", "bits", "m", "_at", "_bits")
+    short = F.col("_at") <= F.col("m") - F.ceil(6 * F.col("m") / F.lit(7))
+    fit = order & short & ~(F.col("settled") & F.col("_settled")) & _fit("n", "at", "bits", "m", "_at", "_bits")
     return dealt.join(other, (F.col("token") == F.col("_token")) & fit).select("g1", "h1").distinct()
 
 
@@ -249,21 +259,24 @@ def _later(docs: DataFrame, folded: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line): lines whose token set has a Jaccard similarity of 0.75 or more with that of an earlier line.
+    """(doc_id, text_id, line): lines whose token set has a Jaccard similarity of 0.75 or more with that of an earlier
+    line; text_id is a hash of the text.
 
     Lines are parted by U+000A and numbered from 0; tokens are words with A-Z lower-cased; lines come in the order of
-    doc_id, then number. Equal sets fold into the first of them. Sets join on a common token of their prefixes; length,
+    doc_id, then text_id, then number. Equal sets fold into the first of them. Sets join on a common token of their prefixes; length,
     positions and parities rule pairs out, and what passes is confirmed on the full sets. So that groups of near copies
     don't give all their pairs, sets are first held against the earliest that has their token alone; those found later
     than a similar one are settled, and the whole join leaves out pairs of two settled sets. Settled sets are told by two
     tables of bits: first hashes of settled sets, less second hashes of others that fall on them. So none is taken for
     settled that isn't.
 
-    Lines without tokens stay. Null texts have no lines. Repeated rows of one doc_id are one document and lose the same
-    lines; rows without doc_id come first in order. Other columns are not read.
+    Lines without tokens stay. Null texts have no lines. Rows alike in doc_id and text are one document and lose the same
+    lines; other rows of one doc_id, or without one, stand each for itself, those without first. Other columns are not
+    read; an empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     lines = saved(_scan(docs), "lines")
-    folded = saved(lines.groupBy("n", "h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("place")), "line-sets")
+    folded = saved(lines.groupBy("n", "h1", "h2").agg(F.min(F.struct(*PLACE)).alias("place")), "line-sets")
     counts = token_sketch(docs)
     early = _later(docs, folded, _with_first(_prefixes(docs, counts, few=True)))
     settled = _marks(early.select("h1"))
@@ -273,9 +286,9 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     late = early.union(rest).distinct().select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.lit(True).alias("late"))
     first = folded.select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "place").join(late, ["_h1", "_h2"], "left")
     same = (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))
-    placed = lines.select("doc_id", "line", "h1", "h2").join(first, same)
-    gone = placed.filter(F.col("late").isNotNull() | ~F.struct("doc_id", "line").eqNullSafe(F.col("place")))
-    out = saved(gone.select("doc_id", "line").distinct(), "lines-removed")
+    placed = lines.select(*PLACE, "h1", "h2").join(first, same)
+    gone = placed.filter(F.col("late").isNotNull() | ~F.struct(*PLACE).eqNullSafe(F.col("place")))
+    out = saved(gone.select(*PLACE).distinct(), "lines-removed")
     for table in (early, rest, lines, folded):
         dropped(table)
     return out
@@ -284,11 +297,13 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_removed, text) for every row of ``docs``: the text without the lines of
     :func:`removed_lines`. Null text stays null with no lines."""
-    gone = removed_lines(docs).groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("removed")).withColumnRenamed("doc_id", "_doc_id")
-    joined = docs.select("doc_id", "text").join(gone, F.col("doc_id").eqNullSafe(F.col("_doc_id")), "left")
+    gone = removed_lines(docs).groupBy(F.col("doc_id").alias("_doc_id"), F.col("text_id").alias("_text_id")).agg(F.collect_set("line").alias("removed"))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.xxhash64("text") == F.col("_text_id"))
+    joined = docs.select("doc_id", "text").join(gone, same, "left")
     lines = F.split("text", "\n")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
-    kept = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("removed", i), x)), lambda x: x.isNotNull())
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), removed), lambda i: F.get(F.col("parted"), i))
     text = F.when(F.size(removed) == 0, F.col("text")).otherwise(F.array_join(kept, "\n"))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
-    return joined.select("doc_id", n.cast("long").alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), text.alias("text"))
+    parted = joined.withColumn("parted", F.when(F.size(removed) > 0, lines))
+    return parted.select("doc_id", n.cast("long").alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), text.alias("text"))
