@@ -111,5 +111,22 @@ select doc_id, size, source_size, target,
 from sums
 """
 
+_NEAR_SQL = """
+with recursive base as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as w
+  from documents),
+sets as (
+  select distinct doc_id, array_to_string(w[i:i + 4], ' ') as s
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from base where len(w) > 0)),
+sizes as (select doc_id, count(*) as n from sets group by doc_id),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as c from sets a join sets b on a.s = b.s and a.doc_id < b.doc_id group by all),
+links as (select a, b from common join sizes x on a = x.doc_id join sizes y on b = y.doc_id where 100 * c >= 75 * (x.n + y.n - c)),
+ends as (select a, b from links union all select b, a from links),
+reach as (select a as id, a as r from ends union select reach.id, ends.b from reach join ends on reach.r = ends.a),
+least as (select id, min(r) as r from reach group by id)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, coalesce(r, d.doc_id) as component_id, coalesce(r, d.doc_id) = d.doc_id as kept
+from documents d left join sizes on d.doc_id = sizes.doc_id left join least on d.doc_id = least.id
+"""
+
 QUERIES = {f.__name__: f for f in (op1_personal_data, op2_token_counts, op3_benchmark_leaks, op4_url_filter, op5_quality_rules, op6_near_duplicates, op7_language, op8_hash_tree_shards, op9_line_dedup, op10_source_mix)}
-ORACLE = {"op5_quality_rules": _QUALITY_SQL, "op10_source_mix": _MIX_SQL}
+ORACLE = {"op5_quality_rules": _QUALITY_SQL, "op6_near_duplicates": _NEAR_SQL, "op10_source_mix": _MIX_SQL}
