@@ -32,7 +32,7 @@ THRESHOLDS: tuple[tuple[str, str, str, float], ...] = (
 )
 
 
-#: Texts of up to so many words sort a place with the upper bits of its window's hash in one number.
+#: Texts of up to so many words sort a place with the upper bits of its window's hash in one number, as a first pass.
 PACKED = ((1 << 12) - 1, (1 << 16) - 1)
 
 
@@ -58,8 +58,9 @@ def _packed_places(windows: Column, mask: Column) -> Column:
     return _repeated(placed, lambda x, y: x.bitwiseXOR(y).between(0, mask), lambda x: x.bitwiseAND(mask).cast("int"))
 
 
-def _long_places(windows: Column) -> Column:
-    placed = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+def _whole_places(windows: Column, places: Column) -> Column:
+    """Those of ``places`` whose windows' whole hashes repeat among them."""
+    placed = F.sort_array(F.transform(places, lambda i: F.struct(F.get(windows, i).alias("h"), i.alias("i"))))
     return _repeated(placed, lambda x, y: x.h == y.h, lambda x: x.i)
 
 
@@ -72,8 +73,8 @@ def measures(docs: DataFrame) -> DataFrame:
     """doc_id and the counts and ratios that rules compare, for every row.
 
     Words are runs of characters other than space and U+0009 to U+000D, over the whole text; null text has none.
-    Windows of three words are compared by hash: 52 bits of it in texts of up to 4,095 words, 48 in those of up to
-    65,535, 64 in longer ones. Ratios over no words or no lines are 0. Repeated rows are
+    Windows of three words are compared by hashes of 64 bits; in texts of up to 65,535 words a sort of plain numbers with
+    their upper bits tells first which windows can repeat at all. Ratios over no words or no lines are 0. Repeated rows are
     measured alike; other columns are not read.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -81,8 +82,9 @@ def measures(docs: DataFrame) -> DataFrame:
     hashed = split.withColumns({"n": F.size("words"), "hashes": F.transform("words", lambda w: F.xxhash64(w))})
     hashed = hashed.withColumn("windows", _windows(F.col("n"), F.col("hashes")))
     mask = F.when(F.col("n") <= PACKED[0], F.lit(PACKED[0]).cast("long")).otherwise(F.lit(PACKED[1]).cast("long"))
-    places = F.when(F.col("n") <= PACKED[1], _packed_places(F.col("windows"), mask)).otherwise(_long_places(F.col("windows")))
-    hashed = hashed.withColumn("places", places)
+    every = F.sequence(F.lit(0), F.size("windows") - 1)
+    hashed = hashed.withColumn("maybe", F.when(F.col("n") <= PACKED[1], _packed_places(F.col("windows"), mask)).otherwise(every))
+    hashed = hashed.withColumn("places", _whole_places(F.col("windows"), F.col("maybe")))
     closed = lambda w: F.substring(w, -1, 1).isin(*ENDINGS)
     stops = F.size(F.filter("words", lambda w: F.when(closed(w), F.lower(F.rtrim(w, F.lit(ENDINGS))).isin(STOP_WORDS)).otherwise((F.octet_length(w) <= LONGEST) & F.lower(w).isin(STOP_WORDS))))
     counted = hashed.select(

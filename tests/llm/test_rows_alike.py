@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from keystrand.llm import decontaminate, language, mixing, near_dup, sharding
+from keystrand.llm import decontaminate, language, lines, mixing, near_dup, sharding
 from keystrand.llm.copies import numbered
 from keystrand.llm.graph import components, extended
 
@@ -94,3 +94,20 @@ def test_components_of_drawn_edges(spark):
     assert found == {x: label[x] for x in ends}
     later = extended(components(frame(edges[::2])), frame(edges[1::2]))
     assert {r.id: r.component for r in later.collect()} == found
+
+
+def test_lines_of_rows_without_id(spark):
+    rows = [(None, "a line of its own here\nwhat every text says at last"), (None, "quite another first line\nwhat every text says at last"), (None, "a third start of a text\nand an end of its own too"), (4, "one with a number\nwhat every text says at last"), (4, "one number and two texts\nof which none is the other")]
+    found = {r.text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum("what every text says at last" in t for t in found) == 1
+    assert {t.split("\n")[0] for t in found} == {t.split("\n")[0] for _, t in rows}
+    assert {rows[2][1], rows[4][1]} <= found
+
+
+def test_short_hashes_of_windows_are_a_first_pass_alone(spark, monkeypatch):
+    from keystrand.llm import quality
+
+    words = " ".join(f"w{i}" for i in range(900)) + " w5 w6 w7"
+    docs = spark.createDataFrame([(1, words)], "doc_id long, text string")
+    monkeypatch.setattr(quality, "_packed_places", lambda windows, mask: F.sequence(F.lit(0), F.size(windows) - 1))
+    assert quality.measures(docs).first().n_repeat_words == 6
