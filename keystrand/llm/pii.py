@@ -251,7 +251,7 @@ def fitted(docs: DataFrame, sample: int = SAMPLE) -> Tagger:
     A threshold from the number of rows leaves about twice as many, so no more are put in order."""
     known = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
     share = min(1.0, 2 * sample / max(1, known.count()))
-    drawn = known.select(F.xxhash64("doc_id", "text").alias("hash"), "text").filter(F.col("hash") <= int(share * (2**64 - 1)) - 2**63)
+    drawn = known.select(F.xxhash64("doc_id", "text").alias("hash"), "text").filter(F.col("hash") <= min(int(share * 2**64), 2**64 - 1) - 2**63)
     at = F.pmod(F.xxhash64("hash"), F.greatest(F.length("text") - CARRIER, F.lit(1))).cast("int") + 1
     rows = drawn.select("hash", F.substring("text", at, F.lit(CARRIER)).alias("text")).groupBy("hash").agg(F.first("text").alias("text")).orderBy("hash").limit(sample).collect()
     return train(labelled_examples([r.text for r in rows]))
