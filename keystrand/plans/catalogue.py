@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from keystrand.functions import checksums, text, varint
 from keystrand.operators import bits, keyset, records, runs
+from keystrand.plans import checksum_sql
 from keystrand.sources import files
 
 QUERIES = {}
@@ -14,6 +15,12 @@ ORACLE = {}
 _NAMES_SQL = "(select distinct p_name as word from part where p_name is not null)"
 _BITS_SQL = "(select o_orderkey as pos, (o_orderstatus <> 'F')::int as bit from orders)"
 _WORDS_SQL = "(select distinct w as word from (select unnest(regexp_split_to_array(text, '[ \\n]')) as w from documents) where w <> '')"
+_BLOBS_SQL = "(select doc_id, encode(text) as data from documents)"
+_XXH64_SQL = f"""
+select a.doc_id, coalesce(a.hash, 42) as seed42, b.hash as seed0
+from {checksum_sql.xxh64(_BLOBS_SQL, "doc_id", "data", 42)} a join {checksum_sql.xxh64(_BLOBS_SQL, "doc_id", "data", 0)} b on a.doc_id = b.doc_id
+"""
+_CRC32C_SQL = f"select doc_id, {checksum_sql.crc('data')} as crc from {_BLOBS_SQL}, {checksum_sql.crc_table(checksums.CASTAGNOLI)}"
 
 
 def _query(sql: str | None = None):
@@ -324,13 +331,13 @@ def parallel_sort(spark, sf_dir):
 # checksums
 
 
-@_query()
+@_query(_XXH64_SQL)
 def xxh64(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     return docs.select("doc_id", checksums.xxh64(F.col("text")).alias("seed42"), checksums.xxh64(F.col("text"), 0).alias("seed0"))
 
 
-@_query()
+@_query(_CRC32C_SQL)
 def crc32c(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", checksums.crc32c(F.col("text").cast("binary")).alias("crc"))
 
