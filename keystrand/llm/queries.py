@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from keystrand.llm import decontaminate, language, lines, mixing, near_dup, pii, quality, sharding, tokens, urls
+from keystrand.plans import checksum_sql
 
 
 def _table(spark, sf_dir, name):
@@ -128,5 +129,37 @@ select d.doc_id, coalesce(n, 0)::bigint as n_shingles, coalesce(r, d.doc_id) as
 from documents d left join sizes on d.doc_id = sizes.doc_id left join least on d.doc_id = least.id
 """
 
+def _draw_sql(path: str, weights: list[int]) -> str:
+    if len(weights) == 1:
+        return "0"
+    digits = "('0x' || substr(md5('{}/{}:' || coalesce(doc_id::varchar, '')), 1, 12))::bigint"
+    draws = [f"-ln(({digits.format(path, child)} + 0.5::double) / {2**48}::double) / {weight}.0::double" for child, weight in enumerate(weights)]
+    return f"list_transform([[{', '.join(draws)}]], lambda d: list_position(d, list_min(d)) - 1)[1]"
+
+
+def _tree_sql(shards: int, region: int = sharding.REGION, rack: int = sharding.RACK) -> str:
+    parts = [min(region, shards - at) for at in range(0, shards, region)]
+    by_region = []
+    for r, size in enumerate(parts):
+        racks = [min(rack, size - at) for at in range(0, size, rack)]
+        leaves = " ".join(f"when {k} then {r * region + k * rack} + {_draw_sql(f'{r}/{k}', [1] * n)}" for k, n in enumerate(racks))
+        by_region.append(f"when {r} then case {_draw_sql(str(r), racks)} {leaves} end")
+    return f"(case {_draw_sql('', parts)} {' '.join(by_region)} end)::int"
+
+
+_SHARDS_SQL = f"""
+with told as (
+  select doc_id, (strlen(coalesce(text, '')) + 16)::bigint as size, {checksum_sql.crc("encode(coalesce(text, ''))")} as text_crc32
+  from documents, {checksum_sql.crc_table(0xEDB88320)}),
+rows as (select *, row_number() over (partition by doc_id, size, text_crc32) - 1 as copy from told),
+placed as (
+  select *, {_tree_sql(40)} as shard, {_tree_sql(41)} as grown_shard,
+         substr(md5('slot:' || coalesce(doc_id::varchar, '') || ':' || size || ':' || text_crc32 || ':' || copy), 1, 2) as bucket
+  from rows)
+select doc_id, size, text_crc32, 'key' as law, shard, grown_shard,
+       row_number() over (partition by shard order by bucket, doc_id nulls first, text_crc32, size, copy) - 1 as slot
+from placed
+"""
+
 QUERIES = {f.__name__: f for f in (op1_personal_data, op2_token_counts, op3_benchmark_leaks, op4_url_filter, op5_quality_rules, op6_near_duplicates, op7_language, op8_hash_tree_shards, op9_line_dedup, op10_source_mix)}
-ORACLE = {"op5_quality_rules": _QUALITY_SQL, "op6_near_duplicates": _NEAR_SQL, "op10_source_mix": _MIX_SQL}
+ORACLE = {"op5_quality_rules": _QUALITY_SQL, "op6_near_duplicates": _NEAR_SQL, "op8_hash_tree_shards": _SHARDS_SQL, "op10_source_mix": _MIX_SQL}

@@ -11,13 +11,18 @@ from keystrand.llm.store import free
 
 REGION = 10
 RACK = 5
-SLOT_BUCKETS = 256
 
 
 def _sizes(total: int, most: int) -> list[int]:
     return [min(most, total - at) for at in range(0, total, most)]
 
 
+def _hashed(*parts: Column, digits: int) -> Column:
+    """The first hex digits of the parts' MD5, as a number; null counts as empty text."""
+    text = F.concat(*(F.coalesce(p.cast("string"), F.lit("")) for p in parts))
+    return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")
+
+
 def _drawn(key: Column, path: str, weights: list[int]) -> Column:
     """Index of the child with the least -ln(u) / weight, u drawn from the key and the child's path: a child wins in
     proportion to its weight, and a change of one weight moves keys only into or out of that child."""
@@ -25,7 +30,7 @@ def _drawn(key: Column, path: str, weights: list[int]) -> Column:
         return F.lit(0)
     draws = []
     for child, weight in enumerate(weights):
-        u = (F.shiftrightunsigned(F.xxhash64(F.lit(f"{path}/{child}"), key), 11) + F.lit(0.5)) / F.lit(float(2**53))
+        u = (_hashed(F.lit(f"{path}/{child}:"), key, digits=12) + F.lit(0.5)) / F.lit(float(2**48))
         draws.append(F.struct((-F.log(u) / F.lit(float(weight))).alias("at"), F.lit(child).alias("child")))
     return F.least(*draws)["child"]
 
@@ -66,7 +71,8 @@ def assign_shards(docs: DataFrame, shards: int = 40) -> DataFrame:
     text = F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))
     told = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     rows = numbered(told, "copy", "doc_id", "size", "text_crc32")
-    bucket = F.pmod(F.xxhash64(F.lit("slot"), "doc_id", "size", "text_crc32", "copy"), F.lit(SLOT_BUCKETS)).cast("int")
+    slot_key = [x for c in ("doc_id", "size", "text_crc32", "copy") for x in (F.lit(":"), F.col(c))]
+    bucket = _hashed(F.lit("slot"), *slot_key, digits=2).cast("int")
     rows = rows.select("*", tree_shard(F.col("doc_id"), shards).alias("shard"), tree_shard(F.col("doc_id"), shards + 1).alias("grown_shard"), bucket.alias("bucket"))
     counts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = F.sum("n").over(W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
