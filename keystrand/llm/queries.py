@@ -161,5 +161,33 @@ select doc_id, size, text_crc32, 'key' as law, shard, grown_shard,
 from placed
 """
 
+_LINES_SQL = f"""
+with parted as (select doc_id, string_split(text, chr(10)) as parts from documents),
+lines as (
+  select doc_id, i, list_sort(list_distinct(list_filter(string_split_regex(translate(parts[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''))) as s
+  from (select doc_id, parts, unnest(range(1, len(parts) + 1)) as i from parted)),
+placed as (select doc_id, i, s, row_number() over (order by doc_id, i) as place from lines where len(s) > 0),
+sets as (select s, len(s) as n, min(place) as k from placed group by s),
+tokens as (select k, n, unnest(s) as w from sets),
+counts as (select w, count(*) as c from tokens group by w),
+ranked as (select k, n, w, row_number() over (partition by k order by c, w) as r from tokens join counts using (w)),
+prefixes as (select k, n, w from ranked where r <= n - (3 * n + 3) // 4 + 1),
+pairs as (
+  select distinct a.k as a, b.k as b
+  from prefixes a join prefixes b on a.w = b.w and a.k < b.k and 4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n)),
+shared as (select b, x.n + y.n as n, len(list_intersect(x.s, y.s)) as o from pairs join sets x on x.k = a join sets y on y.k = b),
+late as (select distinct b as k from shared where 4 * o >= 3 * (n - o)),
+gone as (
+  select doc_id, list(i) as removed
+  from placed join sets on placed.s = sets.s left join late on late.k = sets.k where place <> sets.k or late.k is not null group by doc_id),
+kept as (
+  select parted.doc_id, coalesce(len(parts), 0) as n_lines, coalesce(len(removed), 0) as n_removed,
+         case when removed is null then array_to_string(parts, chr(10))
+              else array_to_string(list_transform(list_filter(range(1, len(parts) + 1), lambda i: not list_contains(removed, i)), lambda i: parts[i]), chr(10)) end as text
+  from parted left join gone on parted.doc_id = gone.doc_id)
+select doc_id, n_lines::bigint as n_lines, n_removed::bigint as n_removed, {checksum_sql.crc("encode(text)")} as text_crc32
+from kept, {checksum_sql.crc_table(0xEDB88320)}
+"""
+
 QUERIES = {f.__name__: f for f in (op1_personal_data, op2_token_counts, op3_benchmark_leaks, op4_url_filter, op5_quality_rules, op6_near_duplicates, op7_language, op8_hash_tree_shards, op9_line_dedup, op10_source_mix)}
-ORACLE = {"op5_quality_rules": _QUALITY_SQL, "op6_near_duplicates": _NEAR_SQL, "op8_hash_tree_shards": _SHARDS_SQL, "op10_source_mix": _MIX_SQL}
+ORACLE = {"op5_quality_rules": _QUALITY_SQL, "op6_near_duplicates": _NEAR_SQL, "op8_hash_tree_shards": _SHARDS_SQL, "op9_line_dedup": _LINES_SQL, "op10_source_mix": _MIX_SQL}
