@@ -35,7 +35,16 @@ def saved(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, with its scheme, for files that a job's tasks write themselves."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    path = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    _WRITTEN[path] = None
+    return path
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    """Delete what stands at a path of :func:`folder`."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
     _WRITTEN.pop(path, None)
@@ -43,14 +52,14 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 def dropped(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`saved` once nothing reads it any more."""
-    _delete(df.sparkSession, df.saved_at)
+    deleted(df.sparkSession, df.saved_at)
 
 
 def cleared(spark: SparkSession) -> None:
-    """Delete all tables that this process has written by :func:`saved`. Results that weren't read yet can't be read
+    """Delete all tables and files that this process has written by :func:`saved` and into :func:`folder`. Results that weren't read yet can't be read
     after it: call it between jobs, once their results are stored."""
     for path in list(_WRITTEN):
-        _delete(spark, path)
+        deleted(spark, path)
 
 
 def free(df: DataFrame, name: str) -> str:
