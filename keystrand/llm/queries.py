@@ -189,5 +189,64 @@ select doc_id, n_lines::bigint as n_lines, n_removed::bigint as n_removed, {chec
 from kept, {checksum_sql.crc_table(0xEDB88320)}
 """
 
+_LONGEST_FIRST = sorted(urls.RULES, key=lambda r: len(r[1]), reverse=True)
+
+
+def _rule_sql(what: int) -> str:
+    fits = [(r, *r[1].partition("/")) for r in _LONGEST_FIRST]
+    cases = " ".join(f"when (host = '{top}' or ends_with(host, '.{top}')) and starts_with(path, '{slash}{rest}') then '{r[what]}'" for r, top, slash, rest in fits)
+    return f"case {cases} end"
+
+
+def _order_sql(k: int) -> str:
+    below = f"left join p{k - 1} b on substr(o.gram, 2) = b.gram" if k > 1 else ""
+    pa, pr = ("coalesce(b.pa, 1 / 256::double)", "coalesce(b.pr, 1 / 256::double)") if k > 1 else ("1 / 256::double",) * 2
+    s = f"{urls.SMOOTHING}::double"
+    return f"""p{k} as (
+  select o.gram, (o.a + {s} * {pa}) / (t.ta + {s}) as pa, (o.r + {s} * {pr}) / (t.tr + {s}) as pr
+  from grams o join totals t on t.k = {k} and substr(o.gram, 1, {k - 1}) = t.context {below}
+  where length(o.gram) = {k} and o.a + o.r >= {urls.MIN_COUNT})"""
+
+
+_URLS_SQL = f"""
+with parts as (
+  select row_number() over () as row, page_id,
+         translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{urls.UPPER}', '{urls.LOWER}') as host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) as path
+  from pages),
+ruled as (select *, {_rule_sql(1)} as rule, {_rule_sql(0)} as action, host || lower(path) as address from parts),
+addresses as (select address, action = 'allow' as good, count(*) as n from ruled group by all),
+labelled as (select * from addresses where good is not null),
+marked as (select address, '^' || address || '$' as m from (select distinct address from addresses)),
+ends as (select address, m, unnest(range(2, length(m) + 1)) as stop from marked),
+own as (select address, unnest([substr(m, stop - k + 1, k) for k in range(1, {urls.ORDER} + 1) if stop >= k]) as gram from ends),
+grams as (
+  select gram, sum(case when good then n else 0 end)::bigint as a, sum(case when good then 0 else n end)::bigint as r
+  from own join labelled using (address) group by gram),
+totals as (select length(gram) as k, substr(gram, 1, length(gram) - 1) as context, sum(a)::bigint as ta, sum(r)::bigint as tr from grams group by all),
+{", ".join(_order_sql(k) for k in range(1, urls.ORDER + 1))},
+model as ({" union all ".join(f"select gram, ln(pa / pr) as ratio from p{k}" for k in range(1, urls.ORDER + 1))}),
+longest as (select address, substr(m, greatest(1, stop - {urls.ORDER - 1}), least(stop, {urls.ORDER})) as g from ends),
+told as (
+  select g, arg_max(ratio, length(gram)) as ratio
+  from (select g, unnest([substr(g, length(g) - k + 1) for k in range(1, length(g) + 1)]) as gram from (select distinct g from longest)) join model using (gram) group by g),
+scores as (select address, round(avg(coalesce(ratio, 0)), 9) as score from longest left join told using (g) group by address),
+bins as (
+  select greatest(-{urls.BINS}, least({urls.BINS}, floor(score * {urls.BINS} / 2)))::int as bin,
+         sum(case when good then n else 0 end)::bigint as a, sum(case when good then 0 else n end)::bigint as r
+  from labelled join scores using (address) group by bin),
+rates as (
+  select bin, sum(a) over () as good, sum(r) over () as bad,
+         coalesce(sum(a) over (order by bin rows between unbounded preceding and 1 preceding), 0) as below_a,
+         coalesce(sum(r) over (order by bin rows between unbounded preceding and 1 preceding), 0) as below_r
+  from bins),
+best as (
+  select bin * 2 / {urls.BINS}::double as bound from rates where good > 0 and bad > 0
+  order by (good - below_a)::double / good::double + below_r::double / bad::double desc, bin limit 1)
+select page_id, host, path, rule,
+       coalesce(action, case when score >= coalesce((select bound from best), 0) then 'allow' else 'block' end) as verdict, score
+from ruled join scores using (address)
+"""
+
 QUERIES = {f.__name__: f for f in (op1_personal_data, op2_token_counts, op3_benchmark_leaks, op4_url_filter, op5_quality_rules, op6_near_duplicates, op7_language, op8_hash_tree_shards, op9_line_dedup, op10_source_mix)}
-ORACLE = {"op5_quality_rules": _QUALITY_SQL, "op6_near_duplicates": _NEAR_SQL, "op8_hash_tree_shards": _SHARDS_SQL, "op9_line_dedup": _LINES_SQL, "op10_source_mix": _MIX_SQL}
+ORACLE = {"op4_url_filter": _URLS_SQL, "op5_quality_rules": _QUALITY_SQL, "op6_near_duplicates": _NEAR_SQL, "op8_hash_tree_shards": _SHARDS_SQL, "op9_line_dedup": _LINES_SQL, "op10_source_mix": _MIX_SQL}
