@@ -2,9 +2,9 @@
 
 from pyspark.sql import SparkSession
 
-from keystrand.plans.tables import dropped, free, saved, shared_dir
+from keystrand.plans.tables import deleted, dropped, folder, free, saved, shared_dir
 
-__all__ = ["bounded_batches", "dropped", "free", "saved", "shared_dir"]
+__all__ = ["bounded_batches", "deleted", "dropped", "folder", "free", "saved", "shared_dir"]
 
 #: Bytes of a batch of rows on its way to Python.
 BATCH_BYTES = 1 << 22

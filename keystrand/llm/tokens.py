@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from keystrand.llm.store import saved
+from keystrand.llm.store import bounded_batches, deleted, folder, saved
 
 BLOCK_BYTES = 1 << 20
 SUPER = 1024
@@ -24,7 +25,12 @@ def read_token_files(spark: SparkSession, path: str, block_bytes: int = BLOCK_BY
     the token width, so no token is cut.
     """
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("file"), "length")
-    ranges = listed.filter("length > 0").select("file", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(block_bytes).cast("long"))).alias("start"))
+    return read_ranges(listed, block_bytes)
+
+
+def read_ranges(files: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """:func:`read_token_files` for the files of the given names and lengths (file, length); empty ones give no rows."""
+    ranges = files.filter("length > 0").select("file", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(block_bytes).cast("long"))).alias("start"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -40,43 +46,44 @@ def read_token_files(spark: SparkSession, path: str, block_bytes: int = BLOCK_BY
     return ranges.repartition(F.col("file"), F.col("start")).mapInArrow(run, schema)
 
 
-def write_token_blocks(docs: DataFrame, encoder: Callable[[], Callable[[str], list[int]]], separator: int, dtype: str = "<u2", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Flat token streams of ``docs``, one a partition, in blocks of ``block_bytes``: (file, block, start, data, first, ids).
+def write_token_files(docs: DataFrame, encoder: Callable[[], Callable[[str], list[int]]], separator: int, folder: str, dtype: str = "<u2") -> DataFrame:
+    """Write ``docs`` into flat token files in ``folder``, one a partition: (file, length, first, ids).
 
-    Rows with data are the stream: each document's tokens, then the separator, with nothing to say where one starts.
-    Rows with ids list, for the caller alone, which documents went in from the ``first`` on. Null text has no tokens.
+    A file holds each document's tokens, then the separator, with nothing to say where one starts. A row with a length
+    tells of a whole file. Rows with ids list, for the caller alone, which documents went in from the ``first`` on. A
+    task that is run again writes a file of another name, so only those that the rows name count: save the rows before
+    reading the files. Null text has no tokens. A token that is the separator or doesn't fit ``dtype`` is an error.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
         from pyspark import TaskContext
 
-        file, encode = f"part-{TaskContext.get().partitionId():06d}", encoder()
-        pending, held, block, first = [], 0, 0, 0
-        names = ["file", "block", "start", "data", "first", "ids"]
-
-        def row(data, ids):
-            at = None if data is None else block * block_bytes
-            return pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block], pa.int64()), pa.array([at], pa.int64()), pa.array([data], pa.binary()), pa.array([first], pa.int64()), pa.array([ids], pa.list_(pa.int64()))], names)
-
-        for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            for text in batch.column("text"):
-                piece = np.append(np.asarray(encode(text.as_py() or ""), dtype=dtype), np.array(separator, dtype=dtype)).astype(dtype).tobytes()
-                pending.append(piece)
-                held += len(piece)
-                if held >= block_bytes:
-                    whole = b"".join(pending)
-                    cut = len(whole) - len(whole) % block_bytes
-                    for at in range(0, cut, block_bytes):
-                        yield row(whole[at : at + block_bytes], None)
-                        block += 1
-                    pending, held = [whole[cut:]], len(whole) - cut
-            yield row(None, ids)
-            first += len(ids)
-        if held:
-            yield row(b"".join(pending), None)
-
-    return docs.select("doc_id", "text").mapInArrow(run, "file string, block long, start long, data binary, first long, ids array<long>")
+        def row(length, first, ids):
+            return pa.RecordBatch.from_arrays([pa.array([file]), pa.array([length], pa.int64()), pa.array([first], pa.int64()), pa.array([ids], pa.list_(pa.int64()))], ["file", "length", "first", "ids"])
+
+        head = next(batches, None)
+        if head is None:
+            return
+        task, encode, most = TaskContext.get(), encoder(), np.iinfo(dtype).max
+        file = f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}"
+        system, name = fs.FileSystem.from_uri(file)
+        system.create_dir(name.rpartition("/")[0], recursive=True)
+        first = length = 0
+        with system.open_output_stream(name, buffer_size=BLOCK_BYTES) as f:
+            for batch in chain([head], batches):
+                for text in batch.column("text"):
+                    tokens = np.array([*encode(text.as_py() or ""), separator], dtype=np.int64)
+                    if (tokens[:-1] == separator).any() or tokens.min() < 0 or tokens.max() > most:
+                        raise ValueError(f"a token is the separator {separator} or does not fit {dtype}")
+                    piece = tokens.astype(dtype).tobytes()
+                    f.write(piece)
+                    length += len(piece)
+                yield row(None, first, batch.column("doc_id").to_pylist())
+                first += len(batch)
+        yield row(length, None, None)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "file string, length long, first long, ids array<long>")
 
 
 def scan(blocks: DataFrame, separator: int, dtype: str = "<u2") -> DataFrame:
@@ -134,13 +141,18 @@ def bpe_encoder(spark: SparkSession, ranks_path: str, pattern: str) -> Callable[
 
 
 def count_tokens(docs: DataFrame, encoder, separator: int, dtype: str = "<u2") -> DataFrame:
-    """(doc_id, n_tokens) for every row of ``docs``: its texts go into flat token streams, which are then scanned.
+    """(doc_id, n_tokens) for every row of ``docs``: its texts go into flat token files, which are then scanned.
 
-    Null and empty texts count 0; repeated rows and rows without doc_id are counted one by one. Other columns are not
-    read. The streams stand in the shared folder, compressed, until the result is read.
+    Null and empty texts count 0, very long ones are encoded whole and scanned in blocks like any others; repeated rows
+    and rows without doc_id are counted one by one; an empty table gives an empty result. Other columns are not read.
+    The files stand in the shared folder until their separators are known.
     """
-    written = saved(write_token_blocks(docs, encoder, separator, dtype), "tokens", "zstd")
-    counts = stitch(saved(scan(written.filter("data is not null"), separator, dtype), "token-ends"))
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    path = folder(spark, "token-files")
+    written = saved(write_token_files(docs, encoder, separator, path, dtype), "tokens")
+    ends = saved(scan(read_ranges(written.filter("length is not null")), separator, dtype), "token-ends")
+    deleted(spark, path)
     listed = written.filter("ids is not null").select(F.col("file").alias("_file"), "first", F.posexplode("ids").alias("k", "doc_id"))
     known = listed.select("_file", (F.col("first") + F.col("k")).alias("_place"), "doc_id")
-    return counts.join(known, (F.col("file") == F.col("_file")) & (F.col("place") == F.col("_place"))).select("doc_id", "n_tokens")
+    return stitch(ends).join(known, (F.col("file") == F.col("_file")) & (F.col("place") == F.col("_place"))).select("doc_id", "n_tokens")

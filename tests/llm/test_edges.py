@@ -124,15 +124,34 @@ def test_urls_of_nasty_rows(spark):
     assert urls.filter_urls(pages.limit(0)).collect() == []
 
 
-def test_token_blocks_of_any_size(spark):
+def test_token_blocks_of_any_size(spark, tmp_path):
     rows = [(i, "x" * n) for i, n in enumerate([0, 1, 7, 4, 0, 0, 33, 2, 3, 4, 5])] + [(99, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    written = tokens.write_token_files(docs, encoder, 50256, f"file://{tmp_path}/flat")
+    files = spark.createDataFrame([(r.file, r.length) for r in written.collect() if r.length is not None], "file string, length long")
+    assert sum(r.length for r in files.collect()) == 2 * sum(len(t or "") + 1 for _, t in rows)
     for size in (2, 8, 16, 1 << 20):
-        written = tokens.write_token_blocks(docs, encoder, 50256, block_bytes=size)
-        found = tokens.stitch(tokens.scan(written.filter("data is not null"), 50256))
+        found = tokens.stitch(tokens.scan(tokens.read_ranges(files, size), 50256))
         assert Counter(r.n_tokens for r in found.collect()) == Counter(len(t or "") for _, t in rows)
 
 
+@pytest.mark.parametrize("separator, dtype", [(ord("x"), "<u2"), (70_000, "<u2"), (9, "u1")])
+def test_tokens_that_would_split_or_not_fit(spark, separator, dtype):
+    docs = spark.createDataFrame([(1, "x\u0141")], "doc_id long, text string")
+    with pytest.raises(Exception, match="is the separator .* or does not fit"):
+        tokens.count_tokens(docs, encoder, separator, dtype).collect()
+
+
+def test_token_files_are_deleted(spark, tmp_path, monkeypatch):
+    from keystrand.plans import tables
+
+    monkeypatch.setattr(tables, "shared_dir", lambda _: str(tmp_path))
+    docs = spark.createDataFrame([(1, "abc"), (1, "abc"), (None, ""), (2, "x" * 100_000)], "doc_id long, text string")
+    found = tokens.count_tokens(docs, encoder, 70_000, "<u4").collect()
+    assert Counter((r.doc_id, r.n_tokens) for r in found) == {(1, 3): 2, (None, 0): 1, (2, 100_000): 1}
+    assert not list(tmp_path.glob("token-files-*"))
+
+
 def test_token_files(spark, tmp_path):
     import numpy as np
 
