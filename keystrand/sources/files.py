@@ -50,6 +50,10 @@ def through_command(lines: DataFrame, command: str, allowed: bool = False) -> Da
     return lines.sparkSession.createDataFrame(out.map(lambda x: (x,)), "line string")
 
 
+#: Bytes from which a written file is closed, and of the buffer before it.
+FILE_BYTES, BUFFER_BYTES = 1 << 27, 1 << 20
+
+
 class FilePart(InputPartition):
     def __init__(self, path: str):
         self.path = path
@@ -116,16 +120,21 @@ class SeqReader(_Reader):
 
 
 class Written(WriterCommitMessage):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, paths: list[str]):
+        self.paths = paths
 
 
 class _Writer(DataSourceWriter):
-    """A file a task, written under a hidden name and renamed when the job commits. Names hold a number of the job's
-    own, so appending leaves older files alone; overwriting deletes them once the new ones are whole."""
+    """Files of a task, written under hidden names and renamed when the job commits. Names hold a number of the job's
+    own, so appending leaves older files alone; overwriting deletes them once the new ones are whole. As only a walk from
+    its start tells where a file's records begin, one file is one task for a reader; so a file that reaches
+    ``maxFileBytes`` (128 MB if not given) is closed and another one begun."""
 
     def __init__(self, options, overwrite: bool):
         self.path, self.overwrite, self.job = options["path"], overwrite, uuid.uuid4().hex
+        self.most = int(options.get("maxFileBytes", FILE_BYTES))
+        if self.most < 1:
+            raise ValueError("maxFileBytes is 1 at least")
         self.order = ">" if options.get("endian", "little") == "big" else "<"
 
     def _system(self):
@@ -141,12 +150,18 @@ class _Writer(DataSourceWriter):
 
         system, folder = self._system()
         system.create_dir(folder, recursive=True)
-        task = TaskContext.get()
-        name = f"{folder}/_part-{self.job}-{task.partitionId():06d}-{task.taskAttemptId()}"
-        with system.open_output_stream(name) as f:
-            for row in rows:
-                f.write(self.packed(row))
-        return Written(name)
+        task, names, rows = TaskContext.get(), [], iter(rows)
+        row = next(rows, None)
+        while row is not None or not names:
+            names.append(f"{folder}/_part-{self.job}-{task.partitionId():06d}-{len(names):06d}-{task.taskAttemptId()}")
+            size = 0
+            with system.open_output_stream(names[-1], buffer_size=BUFFER_BYTES) as f:
+                while row is not None and size < self.most:
+                    record = self.packed(row)
+                    f.write(record)
+                    size += len(record)
+                    row = next(rows, None)
+        return Written(names)
 
     def commit(self, messages) -> None:
         from pyarrow import fs
@@ -154,17 +169,18 @@ class _Writer(DataSourceWriter):
         system, folder = self._system()
         system.create_dir(folder, recursive=True)
         old = [f.path for f in system.get_file_info(fs.FileSelector(folder)) if f.type == fs.FileType.File and not f.base_name.startswith(("_", "."))]
-        for m in messages:
-            if m is not None:
-                system.move(m.path, f"{folder}/{m.path.rsplit('/', 1)[1][1:].rsplit('-', 1)[0]}")
+        for path in self._written(messages):
+            system.move(path, f"{folder}/{path.rsplit('/', 1)[1][1:].rsplit('-', 1)[0]}")
         for path in old if self.overwrite else ():
             system.delete_file(path)
 
     def abort(self, messages) -> None:
         system, _ = self._system()
-        for m in messages:
-            if m is not None:
-                system.delete_file(m.path)
+        for path in self._written(messages):
+            system.delete_file(path)
+
+    def _written(self, messages) -> list[str]:
+        return [path for m in messages if m is not None for path in m.paths]
 
 
 class KvWriter(_Writer):

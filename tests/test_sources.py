@@ -68,6 +68,20 @@ def test_appending_and_overwriting(spark, tmp_path, kind):
     assert held() == [b"z"]
 
 
+@pytest.mark.parametrize("kind", ["kvbin", "strseq"])
+def test_files_are_closed_at_a_size(spark, tmp_path, kind):
+    files.register(spark)
+    fields = "key binary, value binary" if kind == "kvbin" else "data binary"
+    names = [b"%03d" % i for i in range(50)]
+    rows = spark.createDataFrame([tuple([bytearray(n)] * (1 + (kind == "kvbin"))) for n in names], fields).coalesce(1)
+    rows.write.format(kind).option("maxFileBytes", "40").mode("append").save(f"{tmp_path}/t")
+    written = [p for p in (tmp_path / "t").iterdir() if not p.name.startswith("_")]
+    assert len(written) > 4 and all(p.stat().st_size < 60 for p in written)
+    back = spark.read.format(kind).load(f"{tmp_path}/t")
+    assert back.rdd.getNumPartitions() == len(written)
+    assert sorted(bytes(r[0]) for r in back.collect()) == names
+
+
 def test_lines_and_whole_files(spark, tmp_path):
     (tmp_path / "t.txt").write_bytes(b"a\r\nb\n\nc")
     assert [r.line for r in files.read_lines(spark, str(tmp_path / "t.txt")).collect()] == ["a\r", "b", "", "c"]
